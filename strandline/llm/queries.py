@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_counts
+from . import mixing, packing, quality, secrets, sharding, token_counts
 from .common import documents
 
 
@@ -27,6 +27,11 @@ def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("copies")).alias("taken"))
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text", "source", "lang"))
+    return out.select(F.col("_key").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")
+
+
 def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), _vocabulary("piece_bpe_32k.model"))
 
@@ -38,6 +43,11 @@ def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.robust_outliers(documents(spark, sf_dir, "doc_id", "text", "source", "lang"), carry=("doc_id",))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
