@@ -86,13 +86,14 @@ def scan_secrets(
     judged = judged.select("_i", F.struct("start", "kind", name.alias("name"), "end", "hash", "owners", "repositories", "copies", "verdict").alias("s"))
     of_doc = judged.groupBy("_i").agg(F.array_sort(F.collect_list("s")).alias("found"))
     count = lambda test: F.size(F.filter(F.col("found"), test)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
     none = F.lit(None).cast("array<struct<start:bigint,kind:int,name:string,end:bigint,hash:string,owners:bigint,repositories:bigint,copies:bigint,verdict:string>>")
     rows = seen.filter(F.size("_hits") == 0).select("_key", none.alias("found")).unionByName(
         seen.filter(F.size("_hits") > 0).select("_i", "_key").join(of_doc, "_i", "left").select("_key", "found"))
     rows = rows.withColumn("found", F.coalesce("found", F.array().cast(rows.schema["found"].dataType)))
     return rows.select(
-        "_key", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k][0]}") for k in range(N_BASE)],
+        "_key", *[count(of_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(N_BASE)],
         F.sha2(shown(F.filter("found", lambda s: s["kind"] < N_BASE)), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "copied").alias("n_copied"), "found",
     )
