@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, sharding, token_counts
+from . import brown_lm, mixing, packing, quality, secrets, sharding, token_counts
 from .common import documents
 
 
@@ -48,6 +48,10 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op8_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
