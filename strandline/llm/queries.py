@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, mixing, packing, pii, quality, secrets, sharding, token_counts
+from . import ann, brown_lm, mixing, packing, pii, quality, secrets, sharding, token_counts
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = documents(spark, sf_dir, "doc_id", "text").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
