@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown_lm, mixing, packing, pii, quality, secrets, sharding, token_counts
+from . import ann, brown_lm, jaccard_join, mixing, packing, pii, quality, secrets, sharding, token_counts
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op9_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
