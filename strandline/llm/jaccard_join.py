@@ -197,7 +197,7 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
             x = hashes.shingles(texts[r].as_py())
             for column, v in zip(out, (len(x), set_hash(x) if len(x) else None, x[: prefix_length(len(x), FIRST)].tobytes() if len(x) else None), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)]], names=["i", "doc_id", "n", "sh", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)]], names=["i", "doc_id", "text_hash", "n", "sh", "tokens"])
 
 
 def _full_sets(batches, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def _open(batches) -> Iterator[pa.RecordBatch]:
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 24, group_size: int = 48) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest key reachable by links, its own included) of every row.
+    """doc_id, n_shingles, component_id (smallest key reachable by links, its own included) and text_hash of every row.
 
     Two rows link if their sets of distinct N-word shingles (ASCII lower case) have a Jaccard
     similarity of 3/4 or more. Texts under N words have one shingle, texts without words none and
@@ -319,7 +319,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", m
     hashes), no pair within a class is emitted, and each step's state is written in between.
     """
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = staged(src.withColumn("i", F.monotonically_increasing_id()).select("i", "doc_id", "text").mapInArrow(_sets, "i long, doc_id long, n long, sh binary, tokens binary"), "join-docs")
+    numbered = src.select(F.monotonically_increasing_id().alias("i"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs = staged(numbered.mapInArrow(_sets, "i long, doc_id long, text_hash long, n long, sh binary, tokens binary"), "join-docs")
     some = docs.filter("n > 0")
     total = some.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     counts = _shared_counts(some.withColumn("g", F.col("i")), FIRST, total // 8)
@@ -375,5 +376,5 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", m
     with_label = kept.join(label, "sh")
     least = staged(with_label.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-least")
     of_set = staged(label.join(least, "label").select("sh", "component_id"), "join-of-set")
-    out = docs.select("doc_id", "n", "sh").join(of_set, "sh", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = docs.select("doc_id", "text_hash", "n", "sh").join(of_set, "sh", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
