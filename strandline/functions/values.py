@@ -27,39 +27,55 @@ def cycle_key(start: Column, end: Column) -> Column:
     return F.concat(F.left(F.coalesce(start, F.lit("")), F.lit(4)), F.lit("-"), F.left(F.coalesce(end, F.lit("")), F.lit(4)))
 
 
-def _spans(s1, e1, s2, e2):
-    days = [iso_date(c) for c in (s1, e1, s2, e2)]
-    years = [year_of(c) for c in (s1, e1, s2, e2)]
-    known = lambda cs: reduce(lambda a, b: a & b, [c.isNotNull() for c in cs])
-    return days, known(days), years, known(years)
+def span(start: Column, end: Column, window: Column | None = None) -> Column:
+    """A closed interval of date texts, read once: days, years, cycle label, texts."""
+    key = cycle_key(start, end)
+    return F.struct(
+        iso_date(start).alias("d1"), iso_date(end).alias("d2"), year_of(start).alias("y1"), year_of(end).alias("y2"), key.alias("key"),
+        (key if window is None else F.when(blank(window), key).otherwise(window)).alias("label"), F.coalesce(start, F.lit("")).alias("t1"), F.coalesce(end, F.lit("")).alias("t2"),
+    )
+
+
+def _known(a: Column, b: Column, unit: str) -> Column:
+    return reduce(lambda x, y: x & y, [x[f"{unit}{i}"].isNotNull() for x in (a, b) for i in (1, 2)])
+
+
+def spans_meet(a: Column, b: Column) -> Column:
+    """Spans overlap by days, or by years if a day cannot be read; false if a year cannot."""
+    meet = lambda u: F.greatest(a[f"{u}1"], b[f"{u}1"]) <= F.least(a[f"{u}2"], b[f"{u}2"])
+    return F.when(_known(a, b, "d"), meet("d")).when(_known(a, b, "y"), meet("y")).otherwise(False)
+
+
+def span_gap(a: Column, b: Column) -> Column:
+    """Days between spans, 0 if they meet, years times 365 if only years are known, else null."""
+    by_day = F.when(b["d1"] > a["d2"], F.date_diff(b["d1"], a["d2"])).otherwise(F.date_diff(a["d1"], b["d2"]))
+    by_year = F.when(b["y1"] > a["y2"], b["y1"] - a["y2"]).otherwise(a["y1"] - b["y2"]) * 365
+    return F.when(spans_meet(a, b), 0).when(_known(a, b, "d"), by_day).when(_known(a, b, "y"), by_year)
+
+
+def spans_agree(a: Column, b: Column) -> Column:
+    """Equal labels, equal ends, or equal years; blank equals blank."""
+    return (a["label"] == b["label"]) | ((a["t1"] == b["t1"]) & (a["t2"] == b["t2"])) | (a["key"] == b["key"])
+
+
+def spans_adjacent(a: Column, b: Column, most: int = 730) -> Column:
+    return ~spans_meet(a, b) & F.coalesce(span_gap(a, b) <= most, F.lit(False))
 
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Closed intervals of date texts meet; by years if a date cannot be read; false if a year cannot."""
-    d, has_days, y, has_years = _spans(s1, e1, s2, e2)
-    meet = lambda x: F.greatest(x[0], x[2]) <= F.least(x[1], x[3])
-    return F.when(has_days, meet(d)).when(has_years, meet(y)).otherwise(False)
+    return spans_meet(span(s1, e1), span(s2, e2))
 
 
 def gap_days(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Days between intervals, 0 if they meet, years times 365 if only years are known, else null."""
-    d, has_days, y, has_years = _spans(s1, e1, s2, e2)
-    by_day = F.when(d[2] > d[1], F.date_diff(d[2], d[1])).otherwise(F.date_diff(d[0], d[3]))
-    by_year = F.when(y[2] > y[1], y[2] - y[1]).otherwise(y[0] - y[3]) * 365
-    return F.when(overlaps(s1, e1, s2, e2), 0).when(has_days, by_day).when(has_years, by_year)
+    return span_gap(span(s1, e1), span(s2, e2))
 
 
 def same_cycle(s1: Column, e1: Column, s2: Column, e2: Column, w1: Column | None = None, w2: Column | None = None) -> Column:
-    """Equal labels, equal ends, or equal years; blank equals blank."""
-    none = F.lit("")
-    text = lambda c: F.coalesce(c, none)
-    k1, k2 = cycle_key(s1, e1), cycle_key(s2, e2)
-    label = lambda w, k: k if w is None else F.when(blank(w), k).otherwise(w)
-    return (label(w1, k1) == label(w2, k2)) | ((text(s1) == text(s2)) & (text(e1) == text(e2))) | (k1 == k2)
+    return spans_agree(span(s1, e1, w1), span(s2, e2, w2))
 
 
 def adjacent(s1: Column, e1: Column, s2: Column, e2: Column, most: int = 730) -> Column:
-    return ~overlaps(s1, e1, s2, e2) & F.coalesce(gap_days(s1, e1, s2, e2) <= most, F.lit(False))
+    return spans_adjacent(span(s1, e1), span(s2, e2), most)
 
 
 def date_in(c: Column, required: bool = True) -> Column:

@@ -43,7 +43,7 @@ def pacing(df: DataFrame, by: list[str], order: str, failed: Column, low: float
     run's outcomes (a flag each) make one array.
     """
     state = "struct<pause: double, calm: int, strikes: int, event: string, n: int>"
-    run = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), failed.cast("boolean").alias("f")))).alias("run"))
+    run = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), failed.cast("boolean").alias("f")))).alias("_run"))
 
     def step(seen: Column, x: Column) -> Column:
         s = F.element_at(seen, -1)
@@ -61,8 +61,8 @@ def pacing(df: DataFrame, by: list[str], order: str, failed: Column, low: float
         return F.concat(seen, F.array(new.cast(state)))
 
     start = F.array(F.struct(F.lit(base).alias("pause"), F.lit(0).alias("calm"), F.lit(0).alias("strikes"), F.lit("start").alias("event"), F.lit(0).alias("n")).cast(state))
-    seen = run.select(*by, "run", F.aggregate("run", start, step).alias("seen"))
-    each = seen.select(*by, F.explode(F.zip_with(F.slice("seen", F.lit(2), F.size("run")), "run", lambda s, x: F.struct(x["o"].alias(order), s["pause"].alias("pause"), s["event"].alias("event")))).alias("e"))
+    seen = run.select(*by, "_run", F.aggregate("_run", start, step).alias("seen"))
+    each = seen.select(*by, F.explode(F.zip_with(F.slice("seen", F.lit(2), F.size("_run")), "_run", lambda s, x: F.struct(x["o"].alias(order), s["pause"].alias("pause"), s["event"].alias("event")))).alias("e"))
     return each.select(*by, "e.*")
 
 

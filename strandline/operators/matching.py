@@ -13,13 +13,13 @@ TIERS = ("unmatched", "adjacent", "overlap", "exact")
 
 def match_pairs(left: DataFrame, right: DataFrame, entity: str, start: str, end: str, key: str, window: str | None = None, most: int = 730) -> DataFrame:
     """All pairs of one entity with their tier (1 adjacent, 2 overlap, 3 exact); an equi-join on the entity with the interval test left over."""
-    tag = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
-    a, b = tag(left, "l_"), tag(right, "r_")
-    ends = (F.col(f"l_{start}"), F.col(f"l_{end}"), F.col(f"r_{start}"), F.col(f"r_{end}"))
-    labels = (F.col(f"l_{window}"), F.col(f"r_{window}")) if window else (None, None)
-    tier = F.when(values.same_cycle(*ends, *labels), 3).when(values.overlaps(*ends), 2).when(values.adjacent(*ends, most), 1).otherwise(0)
-    both = a.join(b, F.col(f"l_{entity}") == F.col(f"r_{entity}")).withColumn("tier", tier)
-    return both.filter("tier > 0").select(F.col(f"l_{key}").alias(key), F.col(f"r_{key}").alias("match_id"), "tier", *[F.col(f"r_{c}") for c in right.columns if c != key])
+    span = lambda: values.span(F.col(start), F.col(end), F.col(window) if window else None)
+    a = left.select(F.col(entity).alias("_e"), F.col(key), span().alias("_a"))
+    b = right.select(F.col(entity).alias("_f"), span().alias("_b"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
+    x, y = F.col("_a"), F.col("_b")
+    tier = F.when(values.spans_agree(x, y), 3).when(values.spans_meet(x, y), 2).when(values.spans_adjacent(x, y, most), 1).otherwise(0)
+    both = a.join(b, F.col("_e") == F.col("_f")).withColumn("tier", tier)
+    return both.filter("tier > 0").select(key, F.col(f"r_{key}").alias("match_id"), "tier", F.col("_b.key").alias("cycle"), *[f"r_{c}" for c in right.columns if c != key])
 
 
 def match_tiers(left: DataFrame, right: DataFrame, entity: str, start: str, end: str, key: str, classes: str, window: str | None = None, most: int = 730) -> DataFrame:
@@ -28,8 +28,7 @@ def match_tiers(left: DataFrame, right: DataFrame, entity: str, start: str, end:
     Days are parsed once a pair; the best tier comes with its rows in one grouped pass (a map from tier to lists), so no pair is joined twice.
     """
     pairs = match_pairs(left, right, entity, start, end, key, window, most)
-    cycle = values.cycle_key(F.col(f"r_{start}"), F.col(f"r_{end}"))
-    best = pairs.groupBy(key).agg(F.max("tier").alias("best"), *[F.sort_array(F.collect_set(F.when(F.col("tier") == t, F.struct("match_id", F.col(f"r_{classes}").alias("c"), cycle.alias("w"))))).alias(f"t{t}") for t in (1, 2, 3)])
+    best = pairs.groupBy(key).agg(F.max("tier").alias("best"), *[F.sort_array(F.collect_set(F.when(F.col("tier") == t, F.struct("match_id", F.col(f"r_{classes}").alias("c"), F.col("cycle").alias("w"))))).alias(f"t{t}") for t in (1, 2, 3)])
     at = F.when(F.col("best") == 3, F.col("t3")).when(F.col("best") == 2, F.col("t2")).otherwise(F.col("t1"))
     words = lambda f: F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("at"), lambda x: x[f]))), "; ")
     best = best.withColumn("at", at).select(key, "best", F.size("at").alias("n_matches"), words("c").alias("match_classes"), words("w").alias("match_cycles"), F.transform("at", lambda x: x["match_id"]).alias("match_ids"))
