@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def items(c: Column, sep: str = ";") -> Column:
     """Trimmed non-empty parts of a delimited cell."""
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def balanced_object(c: Column) -> Column:

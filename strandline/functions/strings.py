@@ -243,4 +243,4 @@ def urls_in(text: Column) -> Column:
 
 
 def bold_in(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1)), lambda x: F.trim(x)))

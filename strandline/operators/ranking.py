@@ -18,14 +18,12 @@ def position(df: DataFrame, order: list[Column], name: str = "position") -> Data
 
     The order must be total (end it with a key), so that a range read twice is the same.
     """
-    keyed = df.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    names = [f"_o{i}" for i in range(len(order))]
-    dealt = keyed.repartitionByRange(*names).withColumn("_p", F.spark_partition_id())
+    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     counts = dealt.groupBy("_p").count()
     before = F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_p", before.alias("_start"))  # a row for each range
-    local = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*names)))
-    return local.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_n", "_start", *names)
+    local = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    return local.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_n", "_start")
 
 
 def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
