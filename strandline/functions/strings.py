@@ -162,8 +162,14 @@ def retry_kind(c: Column, allowed: dict[str, str]) -> Column:
 
 
 def yes_no(c: Column, default: str = "unclear") -> Column:
+    """yes or no, else the default (the strict reading)."""
     low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.when(low.isin("yes", "true", "1"), "yes").when(low.isin("no", "false", "0"), "no").when(low == "", default).otherwise("unclear")
+    return F.when(low.isin("yes", "no"), low).otherwise(default)
+
+
+def truthy(c: Column) -> Column:
+    """yes, true or 1 (the lenient reading)."""
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("yes", "true", "1")
 
 
 def domain(url: Column) -> Column:

@@ -144,7 +144,7 @@ def quarter_band(c: Column, top: Column) -> Column:
 
 
 def score_band(c: Column) -> Column:
-    return F.when(c.isNull() | (c < 0), "unscored").when(c == 0, "0").when(c <= 25, "1_25").when(c <= 50, "26_50").when(c <= 75, "51_75").otherwise("76_100")
+    return F.when(c == 0, "0").when(c.between(1, 25), "1_25").when(c.between(26, 50), "26_50").when(c.between(51, 75), "51_75").when(c.between(76, 100), "76_100").otherwise("invalid")
 
 
 def standard_error(c: Column) -> Column:

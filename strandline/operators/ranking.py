@@ -1,7 +1,7 @@
 """Ranks, tiers, batches, sequences and consecutive runs.
 
-A global rank is one ordered stream; where only positions are needed it is taken from a range
-partitioning and per-range counts (see position()), never from one task.
+Global ranks come from a range partitioning and per-range counts (see running_total()), never
+from one task; windows are per key.
 """
 
 from __future__ import annotations
@@ -13,27 +13,33 @@ from pyspark.sql.window import Window
 W = Window
 
 
-def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Global row number in an order without a single-task window: range partitions, numbered within, plus the counts of the ranges before.
+def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Running sum in a global order without a single-task window: range partitions, summed within, plus the sums of the ranges before.
 
-    The order must be total (end it with a key), so that a range read twice is the same.
+    The number of ranges is fixed, so that both readers of the exchange see the same ranges; end
+    the order with a key where rows may tie.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = dealt.groupBy("_p").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", before.alias("_start"))  # a row for each range
-    local = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    return local.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_n", "_start")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    sums = dealt.groupBy("_p").agg(F.sum("_v").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_p", before.alias("_start"))  # a row for each range
+    local = F.sum("_v").over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.withColumn("_n", local).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_n", "_v", "_start")
+
+
+def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Global row number in a total order."""
+    return running_total(df, order, F.lit(1), name)
 
 
 def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+    return position(df, order, name)
 
 
 def cut_tiers(df: DataFrame, order: list[Column], shares: tuple[float, ...] = (0.05, 0.15, 0.35, 0.65), rank: str = "rank", tier: str = "tier") -> DataFrame:
     """Rank and tier by ceil(n * share) cuts."""
-    n = F.count("*").over(W.partitionBy())
-    out = rank_rows(df, order, rank).withColumn("_n", n)
+    out = rank_rows(df, order, rank).crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
     t = F.lit(len(shares) + 1)
     for i in reversed(range(len(shares))):
         t = F.when(F.col(rank) <= F.ceil(F.col("_n") * shares[i]), i + 1).otherwise(t)
@@ -41,14 +47,11 @@ def cut_tiers(df: DataFrame, order: list[Column], shares: tuple[float, ...] = (0
 
 
 def mid_rank(df: DataFrame, value: str, name: str = "midrank") -> DataFrame:
-    """(rows below + (ties - 1) / 2) / (rows - 1), null for null values.
-
-    From one row per distinct value, so the ordered pass runs over values, not rows.
-    """
-    each = df.filter(F.col(value).isNotNull()).groupBy(value).count()
-    all_ = F.sum("count").over(W.partitionBy())
-    below = F.sum("count").over(W.orderBy(value)) - F.col("count")
-    each = each.select(value, F.try_divide(below + (F.col("count") - 1) / 2, all_ - 1).alias(name))
+    """(rows below + (ties - 1) / 2) / (rows - 1), null for null values; from one row per distinct value."""
+    each = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    all_ = each.agg(F.sum("_c").alias("_all"))
+    each = running_total(each, [F.col(value)], F.col("_c"), "_upto").crossJoin(F.broadcast(all_))  # one row
+    each = each.select(value, F.try_divide(F.col("_upto") - F.col("_c") + (F.col("_c") - 1) / 2, F.col("_all") - 1).alias(name))
     return df.join(each, value, "left")
 
 
@@ -56,7 +59,7 @@ def rank_variants(df: DataFrame, key: str, scores: dict[str, Column], ties: list
     """Ranks under each score, and for the union of the tops: the overlap flag and largest displacement from the first."""
     out = df
     for name, s in scores.items():
-        out = out.withColumn(f"rank_{name}", F.row_number().over(W.orderBy(s.desc(), *ties)))
+        out = position(out, [s.desc(), *ties], f"rank_{name}")
     names = list(scores)
     ranks = [F.col(f"rank_{n}") for n in names]
     moved = F.greatest(*[F.abs(r - ranks[0]) for r in ranks[1:]]) if len(ranks) > 2 else F.abs(ranks[1] - ranks[0])
@@ -98,7 +101,7 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) ->
 
 def top(df: DataFrame, order: list[Column], n: int, name: str = "position") -> DataFrame:
     """First ``n`` rows, numbered (a bounded heap a task; only those rows are numbered)."""
-    return rank_rows(df.orderBy(*order).limit(n), order, name)
+    return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
 def stop_gate(df: DataFrame, by: list[str], order: str, failed: Column, most: int = 2) -> DataFrame:

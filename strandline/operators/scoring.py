@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import clamp
+from ..functions.values import bands, clamp
 
 Rules = list[tuple[str, float]]
 
@@ -165,14 +165,60 @@ def readiness(covered: Column, positive: Column, high: Column, sets: Column, con
 
 def yield_advice(n: Column, rate: Column, density: Column) -> Column:
     return (
-        F.when(n < 10, "calibration_needed").when((rate >= 0.7) | (density >= 1.75), "strong_yield")
-        .when((rate >= 0.5) | (density >= 1.0), "moderate_yield").otherwise("lower_yield")
+        F.when(n < 10, "calibration_sample_needed").when((rate >= 0.7) | (density >= 1.75), "strong_yield_consider_next_wave")
+        .when((rate >= 0.5) | (density >= 1.0), "moderate_yield_use_priority_targets").otherwise("lower_yield_use_for_strategic_coverage")
     )
 
 
 def status(successes: Column, failures: Column, found: Column) -> Column:
     """Success before failure before nothing; success split by what was found."""
-    return F.when((successes > 0) & (found > 0), "covered_with_results").when(successes > 0, "covered_without_results").when(failures > 0, "failed_only").otherwise("untouched")
+    return F.when((successes > 0) & (found > 0), "scouted_with_candidates").when(successes > 0, "scouted_no_candidates").when(failures > 0, "scout_attempt_failed_connection").otherwise("not_scouted")
+
+
+def queue_status(successes: Column, failures: Column, found: Column, queued: Column) -> Column:
+    return F.when(queued > 0, "queued_for_later_verification").when(found > 0, "candidate_holds_only").otherwise(status(successes, failures, F.lit(0)))
+
+
+def group_advice(tier1: Column, tier2: Column, confidence: Column, yield_: Column) -> Column:
+    """What to do with a group, by its top-tier rows and how well it is known."""
+    many = tier1 >= 25
+    return (
+        F.when(many & (confidence == "high") & (yield_ >= 0.72), "priority_high_evidence_state").when(many & (confidence == "medium"), "priority_growing_evidence_state")
+        .when(many & (confidence == "low"), "priority_exploratory_state").when(tier1 + tier2 >= 25, "cross_state_priority_fill").otherwise("defer_or_geographic_balance_only")
+    )
+
+
+def readiness_level(covered: Column, positive: Column, sets: Column, context: Column) -> Column:
+    return (
+        F.when(sets > 0, "matched_set_leads_need_verification").when(positive > 0, "candidate_leads_need_verification").when(covered > 0, "scout_coverage_only")
+        .when(context, "claim_context_without_current_scout_coverage").otherwise("not_started")
+    )
+
+
+def retry_plan(failed_only: Column, tier: Column) -> Column:
+    """(priority, timing) of a retry by tier; not applicable to other rows."""
+    pair = lambda a, b: F.struct(F.lit(a).alias("priority"), F.lit(b).alias("timing"))
+    return (
+        F.when(~failed_only, pair("not_applicable", "not_applicable")).when(tier <= 2, pair("high", "next_separately_authorized_failure_retry_wave"))
+        .when(tier == 3, pair("medium", "retry_after_next_300_to_600_new_scouts")).otherwise(pair("low", "defer_until_state_or_selection_balance_requires_retry"))
+    )
+
+
+# Points and tiers of the plain (unsmoothed) score.
+SIZE_POINTS = [(50_000, 50), (25_000, 40), (10_000, 30), (5_000, 20), (2_000, 10)]
+SIZE_BANDS = [(50_000, "50,000+"), (25_000, "25,000-49,999"), (10_000, "10,000-24,999"), (5_000, "5,000-9,999"), (2_000, "2,000-4,999")]
+TYPE_POINTS = {"CITY": 15, "MUNICIPALITY": 12, "BOROUGH": 8, "TOWN": 8, "TOWNSHIP": 5}
+PLAIN_TIERS = [(60, "tier_1_high_plausibility"), (45, "tier_2_medium_high_plausibility"), (25, "tier_3_systematic_mid_small")]
+CONTEXT_POINTS = {"seen": 10, "positive": 5, "complete": 5}
+
+
+def plain_score(size: Column, kind: Column, has_site: Column, areas: Column, known: dict[str, Column], several: Column) -> Column:
+    """Size and type points, 15 for a site, points for sharing an area with each known set, 3 for lying in several areas."""
+    s = bands(F.coalesce(size, F.lit(0)), SIZE_POINTS, 0) + 15 * has_site.cast("int") + 3 * several.cast("int")
+    s = s + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_POINTS.items() for x in kv]), F.upper(kind)), F.lit(0))
+    for name, group in known.items():
+        s = s + F.when(F.arrays_overlap(areas, group), CONTEXT_POINTS[name]).otherwise(0)
+    return s
 
 
 def failure_kind(error: Column, response: Column, has_id: Column, timeout: str, connection: str) -> Column:
@@ -192,6 +238,48 @@ def evidence_status(given: Column, excerpt: Column, allowed: tuple[str, ...] = (
 
 
 def text_quality(layer_chars: Column, scanned_chars: Column, pages: Column, least: int = 100) -> Column:
-    """Which text of a document to take, by characters a page."""
-    per = lambda c: F.coalesce(c / F.greatest(pages, F.lit(1)), F.lit(0.0))
-    return F.when(per(layer_chars) >= least, "text_layer").when(per(scanned_chars) >= least, "ocr").when(F.greatest(per(layer_chars), per(scanned_chars)) > 0, "poor").otherwise("none")
+    """(method, quality): the embedded text if it is rich enough a page, else the scan, else the richer of two poor ones."""
+    pair = lambda a, b: F.struct(F.lit(a).alias("method"), F.lit(b).alias("quality"))
+    per = lambda c: F.coalesce(c, F.lit(0)) / F.greatest(F.coalesce(pages, F.lit(1)), F.lit(1))
+    return (
+        F.when(per(layer_chars) >= least, pair("text_layer", "clean")).when((per(scanned_chars) >= least) & (layer_chars > scanned_chars), pair("text_layer", "partial"))
+        .when(per(scanned_chars) >= least, pair("ocr", "ocr_messy")).otherwise(pair("text_layer+ocr_partial", "partial"))
+    )
+
+
+def transport_failure(error: Column, response: Column, response_id: Column, tokens_out: Column) -> Column:
+    """An error of the connection with neither text, id nor output tokens."""
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    marked = F.lower(F.coalesce(error, F.lit(""))).rlike("connection error|timed out|timeout|maximum capacity")
+    return marked & empty(response) & empty(response_id) & F.lower(F.trim(F.coalesce(tokens_out, F.lit("")))).isin("", "0", "none", "nan")
+
+
+# Stage of a found row by its kind, state of a verified one.
+VERIFIED_STATES = {
+    "verified_candidate": "calibration_verified_candidate", "partially_verified_candidate": "calibration_partially_verified_candidate", "context_only_verified": "calibration_context_only",
+    "duplicate_or_superseded": "calibration_already_canonical", "unreachable": "calibration_unreachable", "insufficient_evidence": "calibration_insufficient_or_rejected", "trace_only_not_candidate": "calibration_trace_only",
+}
+BUCKET_ADVICE = {
+    "high_priority_later_verify": "include_in_earliest_coordinated_verification_wave",
+    "medium_priority_later_verify": "include_after_high_priority_matched_set_leads",
+    "low_priority_later_verify": "retain_for_later_gap_or_pattern_review",
+    "context_only_hold": "hold_as_locator_or_mechanism_context; verify only with linked qualifying need",
+    "likely_duplicate_hold": "deduplicate_against_canonical_and_queue_before source review",
+    "insufficient_hold": "hold until a bounded access or completeness task is justified",
+    "rejected_from_calibration": "do not re-verify absent new project need or new source evidence",
+    "already_canonical_hold": "do not verify or ingest again; retain only for scout-quality accounting",
+}
+
+
+def stage_of(stage: Column, kind: Column) -> Column:
+    context = F.trim(F.coalesce(kind, F.lit(""))).isin("context_only", "agenda_cover_sheet", "meeting_minutes", "index_page")
+    return F.when(F.trim(F.coalesce(stage, F.lit(""))) != "", F.trim(stage)).when(context, "context_only_candidate").otherwise("legacy_unverified_candidate")
+
+
+def verified_state(verification: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in VERIFIED_STATES.items() for x in kv])
+    return F.when(verification.isNull() | (verification == ""), "not_calibrated").otherwise(F.coalesce(F.element_at(table, verification), F.concat(F.lit("calibration_"), verification)))
+
+
+def bucket_advice(bucket: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in BUCKET_ADVICE.items() for x in kv]), bucket)

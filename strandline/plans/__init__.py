@@ -1,6 +1,6 @@
 """The library's own queries, each with SQL where SQL states it."""
 
-from . import joins_checks, rollups_ranks, texts  # noqa: F401
+from . import joins_checks, rollups_ranks, selections, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

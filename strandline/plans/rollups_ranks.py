@@ -43,7 +43,7 @@ def q_unit_counts(t):
 
 
 @query("""
-select user_id, strftime(ts, '%Y-%m-%d') as day, case when s > 0 and f > 0 then 'covered_with_results' when s > 0 then 'covered_without_results' when e > 0 then 'failed_only' else 'untouched' end as status
+select user_id, strftime(ts, '%Y-%m-%d') as day, case when s > 0 and f > 0 then 'scouted_with_candidates' when s > 0 then 'scouted_no_candidates' when e > 0 then 'scout_attempt_failed_connection' else 'not_scouted' end as status
 from (select user_id, ts::date as ts, count(*) filter (where event_type = 'purchase') as s, count(*) filter (where event_type = 'error') as e, count(*) filter (where event_type = 'click') as f from events group by 1, 2)""")
 def q_status_precedence(t):
     e = t("events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("purchase", "error", "click")])

@@ -30,7 +30,7 @@ A, B, C, D = (F.col(c) for c in "abcd")
         (strings.name_key, "St. Paul city", "st paul"), (strings.area_key, "City and Borough of Juneau", "juneau"), (strings.area_key, "Prince George's County", "prince_georges"),
         (strings.area_key, "Yukon-Koyukuk Census Area", "yukon-koyukuk"), (strings.owner_kind, "City Council", "city"), (strings.owner_kind, "", "unknown"), (strings.owner_kind, "My Blog", "my_blog"),
         (strings.unit_kind, "Non-Safety", "non_safety"), (strings.unit_kind, "police officers", "police"), (strings.unit_kind, "mixed", "unclear"), (strings.unit_kind, None, "unknown"),
-        (strings.domain, "https://A.example.org:8080/x", "a.example.org:8080"), (strings.domain, "no scheme", None), (strings.yes_no, " TRUE ", "yes"), (strings.yes_no, "maybe", "unclear"),
+        (strings.domain, "https://A.example.org:8080/x", "a.example.org:8080"), (strings.domain, "no scheme", None), (strings.yes_no, " YES ", "yes"), (strings.yes_no, "true", "unclear"), (strings.truthy, " TRUE ", True), (strings.truthy, "maybe", False),
         (values.compact_date, "run_20260715_x", "2026-07-15"), (values.compact_date, "x", "unknown-date"), (values.date_in, "scout-2026-07-15-a", "2026-07-15"),
         (values.joined_dates, "b 2026-02-01; a 2026-01-05;x; 2026-02-01", "2026-01-05; 2026-02-01"), (clauses.relevance, "Wages in comparable communities", "relevant"),
         (clauses.relevance, "CPI adjustment of wages in comparable communities", "irrelevant"), (clauses.relevance, "hello", "ambiguous"), (clauses.relevance, "FY 2021 - 2.5%", "irrelevant"),
@@ -159,7 +159,7 @@ def test_quotes(spark, ask):
     assert (row["kept"], row["unverified"], row["repeated"]) == (["one two three four five"], 1, 1)
     assert tuple(ask(["short -- a longer part -- x"], clauses.clean_leak(A, " -- ", "##"))) == ("a longer part", "separator removed")
     assert tuple(ask(["left ## the right side"], clauses.clean_leak(A, " -- ", "##"))) == ("the right side", "fragment removed")
-    assert [ask([x], clauses.gold_audit(A, F.lit(y))) for x, y in (("positive", 40), ("negative", 20), ("borderline", 60))] == ["positive_below_high", "", "borderline_outside"]
+    assert [ask([x], clauses.gold_audit(A, F.lit(y), F.lit(z))) for x, y, z in (("clear_positive", 40, "no"), ("clear_negative", 20, "yes"), ("false_positive_trap", 26, "yes"))] == ["clear_positive_below_51", "", "false_positive_trap_above_25;trap_flag_above_25"]
 
 
 def test_windows(spark):

@@ -87,7 +87,7 @@ def test_scores(spark):
         scoring.yield_advice(F.lit(30), F.lit(0.6), F.lit(0.1)).alias("y"), scoring.failure_kind(F.lit("Read timed out"), F.lit(""), F.lit(False), "timed out", "connection").alias("f"),
         scoring.text_quality(F.lit(50), F.lit(900), F.lit(3)).alias("q"), scoring.status(F.lit(0), F.lit(2), F.lit(0)).alias("s"),
     ).first()
-    assert (one["r"], round(one["e"], 6), one["y"], one["f"], one["q"], one["s"]) == (75.0, 0.95, "moderate_yield", "timeout_or_capacity", "ocr", "failed_only")
+    assert (one["r"], round(one["e"], 6), one["y"], one["f"], one["q"], one["s"]) == (75.0, 0.95, "moderate_yield_use_priority_targets", "timeout_or_capacity", ("ocr", "ocr_messy"), "scout_attempt_failed_connection")
 
 
 def test_ledgers(spark):
