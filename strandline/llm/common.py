@@ -36,6 +36,11 @@ def staged(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def reread(table: DataFrame) -> DataFrame:
+    """Another reader of a staged table, whose columns are told apart from the first one's in a self-join."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._stage_path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for t in tables:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import release, reread, staged
 from .components import connected_components
 
 N, NUM, DEN = 5, 3, 4  # words in a shingle; similarity NUM/DEN or more
@@ -206,9 +206,8 @@ def _full_sets(batches, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(10)
     muls = rng.integers(1, 1 << 63, 2 * _KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
-        at = batch.column("at").to_numpy(zero_copy_only=False)
         texts, out = batch.column("text"), ([], [], [], [])
-        for r in np.flatnonzero((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)):
+        for r in _passing(batch, wanted):
             x = hashes.shingles(texts[int(r)].as_py())
             if len(x) == 0 or (sh := set_hash(x)) in seen:
                 continue
@@ -221,6 +220,25 @@ def _full_sets(batches, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["sh", "n", "tokens", "keys"])
 
 
+def _bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash ``at`` below 2^_FILTER_BITS: of a fixed size, and passes all that is in it (and a little more)."""
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    out = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+    for r in hashes.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect():
+        out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def _passing(batch: pa.RecordBatch, wanted: np.ndarray) -> np.ndarray:
+    at = batch.column("at").to_numpy(zero_copy_only=False)
+    return np.flatnonzero((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+
+
+def _filtered(batches, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.take(pa.array(_passing(batch, wanted))).select(["r", "n", "tokens", "keys"])
+
+
 def _verify(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("ta"), batch.column("tb")
@@ -229,73 +247,76 @@ def _verify(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").take(keep), batch.column("v").take(keep)], names=["u", "v"])
 
 
-def _bound(table: pa.Table, most: int, prefix_only: bool) -> pa.Table:
-    """Of one bucket of tokens: (q, g, c) common tokens of set q and the union of group g in another class; g null: tokens of too many classes."""
-    cols = [np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in table.column(c)]) for c, k in (("tokens", np.uint64), ("ids", np.int64), ("classes", np.int64), ("grps", np.int64))]
-    order = np.argsort(cols[0], kind="stable")
-    t, q, c, g = (x[order] for x in cols)
-    edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-    qs, gs, hot = [], [], []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi - lo < 2:
-            continue
-        cc = c[lo:hi]
-        kinds = np.unique(cc)
-        if len(kinds) < 2:
-            continue
-        if len(kinds) > most and not prefix_only:
-            hot.append(q[lo:hi])
-            continue
-        groups, first = np.unique(g[lo:hi], return_index=True)  # the matrix's row of this token
-        other = cc[:, None] != cc[first][None, :]
-        a, b = np.nonzero(other)
-        qs.append(q[lo:hi][a])
-        gs.append(groups[b])
-    out = []
-    if qs:
-        pair = np.stack([np.concatenate(qs), np.concatenate(gs)], 1)
-        pair, n = np.unique(pair, axis=0, return_counts=True)
-        out.append(pa.table({"q": pair[:, 0], "g": pair[:, 1], "c": n.astype(np.int64)}))
-    if hot:
-        ids, n = np.unique(np.concatenate(hot), return_counts=True)
-        out.append(pa.table({"q": ids, "g": pa.nulls(len(ids), pa.int64()), "c": n.astype(np.int64)}))
-    return pa.concat_tables(out) if out else pa.table({"q": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-
-
-def _scatter(batches, bits: int, prefix_only: bool) -> Iterator[pa.RecordBatch]:
+def _scatter(batches, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the token-group matrix by bucket of tokens: prefix tokens with the class and group of their sets."""
     for batch in batches:
         blobs = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("tokens")]
-        blobs = [x[: prefix_length(len(x), len(x) + 1)] for x in blobs] if prefix_only else blobs
+        blobs = [x[: len(x) - overlap_needed(len(x)) + 1] for x in blobs]
         if not blobs:
             continue
         at = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
         t = np.concatenate(blobs)
         order = np.argsort(t, kind="stable")
         t, at = t[order], at[order]
-        own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("r", "c", "g")]
+        own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("c", "g")]
         edges = np.searchsorted(t >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(edges))
         cut = [slice(edges[b], edges[b + 1]) for b in full]
         yield pa.RecordBatch.from_arrays(
             [pa.array(full.astype(np.int32)), pa.array([t[s].tobytes() for s in cut], pa.binary())] + [pa.array([x[at[s]].tobytes() for s in cut], pa.binary()) for x in own],
-            names=["bucket", "tokens", "ids", "classes", "grps"],
+            names=["bucket", "tokens", "classes", "grps"],
         )
 
 
-def _open(batches) -> Iterator[pa.RecordBatch]:
-    """Compare a query with every set of an opened group."""
-    for batch in batches:
-        u, v = [], []
-        for r in range(batch.num_rows):
-            q = np.frombuffer(batch.column("tq")[r].as_py(), dtype=np.uint64)
-            for m in batch.column("members")[r].as_py():
-                if linked(q, np.frombuffer(m["tokens"], dtype=np.uint64)):
-                    u.append(batch.column("q")[r].as_py())
-                    v.append(m["r"])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _candidate_groups(table: pa.Table) -> pa.Table:
+    """Of one bucket of tokens: pairs of groups (g1 <= g2) with a common prefix token in sets of two classes."""
+    t, c, g = (np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in table.column(n)]) for n, k in (("tokens", np.uint64), ("classes", np.int64), ("grps", np.int64)))
+    order = np.lexsort((g, t))
+    t, c, g = t[order], c[order], g[order]
+    edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+    seen, left, right = set(), [], []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
+            continue
+        groups = np.unique(g[lo:hi])
+        if (key := groups.tobytes()) in seen:
+            continue
+        seen.add(key)
+        i, j = np.triu_indices(len(groups))
+        left.append(groups[i])
+        right.append(groups[j])
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), dtype=np.int64)
+    return pa.table({"g1": pairs[:, 0], "g2": pairs[:, 1]})
+
 
+def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
+    """Links between classes, found by holding the sets of one group against an opened one.
 
-def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 24, group_size: int = 48) -> DataFrame:
+    A query is compared only if its overlap with the union of the group reaches what it needs with
+    any partner; its overlaps with all sets of the group then come from the group's token lists.
+    """
+    sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("tokens")]
+    size, cls = np.array([len(x) for x in sets]), group.column("c").to_numpy()
+    t = np.concatenate(sets)
+    order = np.argsort(t, kind="stable")
+    t, who = t[order], np.repeat(np.arange(len(sets)), size)[order]
+    found = set()
+    for blob, c in zip(queries.column("tokens"), queries.column("c").to_pylist(), strict=True):
+        q = np.frombuffer(blob.as_py(), dtype=np.uint64)
+        lo, hi = np.searchsorted(t, q, side="left"), np.searchsorted(t, q, side="right")
+        n = hi - lo
+        if np.count_nonzero(n) < overlap_needed(len(q)):
+            continue
+        ends = np.cumsum(n)
+        members = who[np.repeat(lo - ends + n, n) + np.arange(ends[-1])]
+        both = np.bincount(members, minlength=len(sets))
+        hit = (DEN * both >= NUM * (len(q) + size - both)) & (cls != c)
+        found.update((c, int(x)) for x in np.unique(cls[hit]))
+    pairs = np.array(sorted({(min(p), max(p)) for p in found}), dtype=np.int64).reshape(-1, 2)
+    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", group_size: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest key reachable by links, its own included) and text_hash of every row.
 
     Two rows link if their sets of distinct N-word shingles (ASCII lower case) have a Jaccard
@@ -306,17 +327,19 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", m
     1. Shingle hashes are ordered by value. Similar sets share at least a known number of the
        tokens in a prefix of that order, so sets that share fewer prefix tokens with all others
        together have no link; that settles most texts by one exchange of prefix tokens.
-    2. The rest, once per distinct set, are grouped: min-hash keys lead each set to the smallest
-       one of its bucket, the pair is verified, and connected sets are a class.
-    3. Prefix tokens are counted again, by class: a set goes on only if enough of its tokens
-       occur in other classes.
-    4. What goes on is cut into groups of about ``group_size`` sets of one class; the token-group
-       matrix, kept by token, has each group's union. It bounds the overlap of each set with each
-       group of another class; a group is opened and compared set by set only if the bound reaches
-       what the set needs. Tokens of more than ``most`` classes are only counted for the bound;
-       sets made of these alone that reach it are matched by their prefixes as well.
+    2. The rest, once per distinct set, are counted again on a longer prefix and grouped: min-hash
+       keys lead each set to the set of its bucket that has most in common with others, the pair
+       is verified, and connected sets are a class.
+    3. Tokens are counted again, by class, on the prefix and then on whole sets: a set goes on only
+       if enough of its tokens occur in other classes.
+    4. What goes on is put in groups of about ``group_size`` sets with one leading set, so of
+       similar texts. The token-group matrix, kept by token, says which groups share prefix tokens
+       of different classes; those pairs of groups are opened. There, the union of the one group
+       bounds the overlap of each set of the other, and only sets whose bound reaches what they
+       need are compared, with the whole group at once.
     Links of 2 and 4 are contracted to components. No link is missed (up to collisions of 64-bit
-    hashes), no pair within a class is emitted, and each step's state is written in between.
+    hashes), no pair within a class is emitted, links between classes are emitted once a pair of
+    classes, and each step's state is written in between.
     """
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     numbered = src.select(F.monotonically_increasing_id().alias("i"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -326,49 +349,49 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", m
     counts = _shared_counts(some.withColumn("g", F.col("i")), FIRST, total // 8)
     need = lambda part: F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / part))
     kept = staged(some.select("i", "doc_id", "n", "sh").join(counts, "i").filter(F.col("c") >= need(FIRST)).select("doc_id", "sh"), "join-kept")
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
-    marks = kept.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).collect()
-    wanted = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)  # one bit for each hash: a filter of fixed size
-    for r in marks:
-        wanted[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
-    full = src.select(at.alias("at"), "text").mapInArrow(lambda b: _full_sets(b, wanted), "sh binary, n long, tokens binary, keys array<long>")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _FILTER_BITS)).alias("at")
+    wanted = _bit_filter(kept.select(at("doc_id")))
+    full = src.select(at("doc_id"), "text").mapInArrow(lambda b: _full_sets(b, wanted), "sh binary, n long, tokens binary, keys array<long>")
     full = full.join(kept.select("sh").distinct(), "sh", "left_semi").groupBy("sh").agg(F.first(F.struct("n", "tokens", "keys")).alias("s"))
     sets = staged(full.select("sh", "s.*").withColumn("r", F.monotonically_increasing_id()), "join-sets")
 
-    keys = sets.select("r", F.explode("keys").alias("k"))
-    pivots = staged(keys.groupBy("k").agg(F.min("r").alias("p"), F.count("*").alias("m")).filter("m > 1").select("k", "p"), "join-pivots")
-    pairs = staged(keys.join(pivots, "k").filter("p <> r").select("r", "p").distinct(), "join-pairs")
-    blobs = sets.select("r", "tokens")
+    cut = F.expr(f"substring(tokens, 1, cast(8 * (n - ceil(n * {NUM} / {DEN}) + greatest(1, floor(n / {SECOND}))) as int))")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    counts = _shared_counts(sets.select(F.col("r").alias("i"), F.col("r").alias("g"), cut.alias("tokens")), SECOND, total // 2)
+    alike = staged(sets.select("r", "n").join(counts, sets["r"] == counts["i"]).filter(F.col("c") >= need(SECOND)).select("r", (F.col("c") / F.col("n")).alias("share")), "join-alike")
+    wanted_sets = _bit_filter(alike.select(at("r")))
+    some_sets = sets.select(at("r"), "r", "n", "tokens", "keys").mapInArrow(lambda b: _filtered(b, wanted_sets), "r long, n long, tokens binary, keys array<long>")
+    some_sets = staged(some_sets, "join-some-sets")
+
+    # The set with the largest share of common tokens leads its bucket: copies of one text link to that text, not always to each other.
+    keys = some_sets.select("r", F.explode("keys").alias("k")).join(alike, "r")
+    pivots = staged(keys.groupBy("k").agg(F.min(F.struct((-F.col("share")).alias("rank"), "r")).alias("b"), F.count("*").alias("m")).filter("m > 1").select("k", "b.rank", F.col("b.r").alias("p")), "join-pivots")
+    pairs = staged(keys.select("r", "k").join(pivots, "k").filter("p <> r").select("r", "p").distinct(), "join-pairs")
+    blobs = some_sets.select("r", "tokens")
     both = pairs.join(blobs.withColumnRenamed("tokens", "ta"), "r").join(blobs.select(F.col("r").alias("p"), F.col("tokens").alias("tb")), "p")
     near = staged(both.select(F.col("r").alias("u"), F.col("p").alias("v"), "ta", "tb").mapInArrow(_verify, "u long, v long"), "join-near")
     classes = connected_components(near)
 
-    cut = F.expr(f"substring(tokens, 1, cast(8 * (n - ceil(n * {NUM} / {DEN}) + greatest(1, floor(n / {SECOND}))) as int))")
-    classed = sets.select("r", "n", "tokens").join(classes, sets["r"] == classes["node"], "left").withColumn("c", F.coalesce("component", "r")).select("r", "n", "c", "tokens")
-    classed = staged(classed, "join-classed")
-    total = classed.agg(F.sum("n")).first()[0] or 0
-    counts = _shared_counts(classed.select(F.col("r").alias("i"), F.col("c").alias("g"), cut.alias("tokens")), SECOND, total // 2)
-    on = staged(classed.join(counts.withColumnRenamed("c", "shared"), classed["r"] == counts["i"]).filter(F.col("shared") >= need(SECOND)).select("r", "n", "c", "tokens"), "join-on")
-    release(classed)
-    of_class = staged(on.groupBy("c").agg(F.ceil(F.count("*") / group_size).alias("parts")), "join-parts")
-    on = staged(on.join(of_class, "c").withColumn("g", F.xxhash64("c", F.pmod(F.xxhash64("r"), F.col("parts")))).drop("parts"), "join-groups")
-    total = on.agg(F.sum("n")).first()[0] or 0
-    bits = min(16, max(6, (total // 100_000).bit_length()))
-    sent = "bucket int, tokens binary, ids binary, classes binary, grps binary"
-    matrix = on.mapInArrow(lambda b: _scatter(b, bits, False), sent).groupBy("bucket").applyInArrow(lambda t: _bound(t, most, False), "q long, g long, c long")
-    matrix = staged(matrix, "join-matrix")
-    common = matrix.filter("g is null").groupBy("q").agg(F.sum("c").alias("hot"))
-    sizes = on.select(F.col("r").alias("q"), "n").join(common, "q", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    sizes = staged(sizes.withColumn("need", F.ceil(F.col("n") * NUM / DEN)), "join-sizes")
-    bound = matrix.filter("g is not null").groupBy("q", "g").agg(F.sum("c").alias("c"))
-    opened = bound.join(sizes, "q").filter(F.col("c") + F.col("hot") >= F.col("need")).select("q", "g")
-    only_hot = sizes.filter(F.col("hot") >= F.col("need")).select(F.col("q").alias("r"))
-    alike = on.join(only_hot, "r", "left_semi").select("r", "n", "c", "tokens", "g")
-    extra = alike.mapInArrow(lambda b: _scatter(b, bits, True), sent).groupBy("bucket").applyInArrow(lambda t: _bound(t, most, True), "q long, g long, c long").select("q", "g")
-    opened = staged(opened.union(extra).distinct(), "join-opened")
-    members = on.groupBy("g").agg(F.collect_list(F.struct("r", "tokens")).alias("members"))
-    checked = opened.join(on.select(F.col("r").alias("q"), F.col("tokens").alias("tq")), "q").join(members, "g").select("q", "tq", "members")
-    far = staged(checked.mapInArrow(_open, "u long, v long"), "join-far")
+    classed = some_sets.select("r", "n", "tokens").join(classes, some_sets["r"] == classes["node"], "left").withColumn("c", F.coalesce("component", "r")).select("r", "n", "c", "tokens")
+    on = staged(classed, "join-classed")
+    for part in (SECOND, 1):  # of half the tokens, then of all
+        total = on.agg(F.sum("n")).first()[0] or 0
+        tokens = cut if part == SECOND else F.col("tokens")
+        counts = _shared_counts(on.select(F.col("r").alias("i"), F.col("c").alias("g"), tokens.alias("tokens")), part, total)
+        counts = counts.withColumnRenamed("c", "shared")
+        fewer = staged(on.join(counts, on["r"] == counts["i"]).filter(F.col("shared") >= need(part)).select("r", "n", "c", "tokens"), "join-on")
+        release(on)
+        on = fewer
+    leaders = keys.select("r", "k").join(pivots, "k").groupBy("r").agg(F.min(F.struct("rank", "p")).alias("b")).select("r", F.col("b.p").alias("p"))
+    on = staged(on.join(leaders, "r", "left").withColumn("lead", F.coalesce("p", "r")).drop("p"), "join-led")
+    parts = staged(on.groupBy("lead").agg(F.ceil(F.count("*") / group_size).alias("parts")), "join-parts")
+    on = staged(on.join(parts, "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("r"), F.col("parts")))).select("c", "g", "tokens"), "join-groups")
+    total = on.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    bits = min(16, max(3, (total // 2_000_000).bit_length()))
+    matrix = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, classes binary, grps binary")
+    opened = staged(matrix.groupBy("bucket").applyInArrow(_candidate_groups, "g1 long, g2 long").distinct(), "join-opened")
+    side = lambda name: reread(opened).join(reread(on).withColumnRenamed("g", name), name).select("g1", "g2", "c", "tokens").groupBy("g1", "g2")
+    far = staged(side("g1").cogroup(side("g2")).applyInArrow(_open, "u long, v long"), "join-far")
     final = connected_components(near.union(far))
 
     label = sets.select("r", "sh").join(final, sets["r"] == final["node"], "left").select("sh", F.coalesce("component", "r").alias("label"))

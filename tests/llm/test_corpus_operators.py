@@ -361,8 +361,8 @@ def test_join_finds_all_components(spark, docs, empty, rows):
     assert jaccard_join.similar_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 24])
-def test_join_of_chained_and_hot_families(spark, most, monkeypatch):
+@pytest.mark.parametrize("group_size", [3, 256])
+def test_join_of_chained_and_hot_families(spark, group_size, monkeypatch):
     """Families whose members drift apart, so that min-hash pivots miss links and groups must be opened."""
     monkeypatch.setattr(jaccard_join, "_KEYS", 1)
     rng = random.Random(8)
@@ -376,5 +376,5 @@ def test_join_of_chained_and_hot_families(spark, most, monkeypatch):
             rows.append((len(rows), " ".join(w)))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(df, most=most, group_size=4).collect())
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(df, group_size=group_size).collect())
     assert got == components(rows)[1]
