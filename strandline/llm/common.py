@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A local session deletes its tables at exit; on a cluster they stay as long as that folder keeps files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if spark.sparkContext.master.startswith("local[") and path.startswith(("/", "file:")):  # one process: nobody reads it later
+        atexit.register(shutil.rmtree, path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
