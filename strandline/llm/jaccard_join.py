@@ -247,46 +247,78 @@ def _verify(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").take(keep), batch.column("v").take(keep)], names=["u", "v"])
 
 
+def _deal(tokens: list[np.ndarray], own: list[np.ndarray], bits: int, names: list[str]) -> pa.RecordBatch:
+    """Tokens with the numbers of their sets, a row for each bucket of tokens."""
+    at = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    t = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(t, kind="stable")
+    t, at = t[order], at[order]
+    edges = np.searchsorted(t >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(edges))
+    cut = [slice(edges[b], edges[b + 1]) for b in full]
+    columns = [pa.array([t[s].tobytes() for s in cut], pa.binary())] + [pa.array([x[at[s]].tobytes() for s in cut], pa.binary()) for x in own]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *columns], names=["bucket", "tokens", *names])
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
 def _scatter(batches, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the token-group matrix by bucket of tokens: prefix tokens with the class and group of their sets."""
     for batch in batches:
-        blobs = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("tokens")]
-        blobs = [x[: len(x) - overlap_needed(len(x)) + 1] for x in blobs]
-        if not blobs:
-            continue
-        at = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
-        t = np.concatenate(blobs)
-        order = np.argsort(t, kind="stable")
-        t, at = t[order], at[order]
-        own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("c", "g")]
-        edges = np.searchsorted(t >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(edges))
-        cut = [slice(edges[b], edges[b + 1]) for b in full]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full.astype(np.int32)), pa.array([t[s].tobytes() for s in cut], pa.binary())] + [pa.array([x[at[s]].tobytes() for s in cut], pa.binary()) for x in own],
-            names=["bucket", "tokens", "classes", "grps"],
-        )
+        yield _deal([np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("tokens")], _numbers(batch, "r", "c"), bits, ["ids", "classes"])
+
 
+def _joined(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in table.column(c)]) for c, k in kinds.items()]
 
-def _candidate_groups(table: pa.Table) -> pa.Table:
-    """Of one bucket of tokens: pairs of groups (g1 <= g2) with a common prefix token in sets of two classes."""
-    t, c, g = (np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in table.column(n)]) for n, k in (("tokens", np.uint64), ("classes", np.int64), ("grps", np.int64)))
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each set its tokens here with the number of classes that hold them."""
+    t, r, c = _joined(table, tokens=np.uint64, ids=np.int64, classes=np.int64)
+    order = np.lexsort((c, t))
+    t, r, c = t[order], r[order], c[order]
+    new = np.r_[True, t[1:] != t[:-1]]
+    run = np.cumsum(new) - 1
+    n = np.bincount(run, weights=new | np.r_[True, c[1:] != c[:-1]]).astype(np.int64)[run]
+    order = np.argsort(r, kind="stable")
+    t, n, r = t[order], n[order], r[order]
+    edges = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
+    cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"r": r[edges[:-1]], "t": pa.array([t[s].tobytes() for s in cut], pa.binary()), "f": pa.array([n[s].tobytes() for s in cut], pa.binary())})
+
+
+def _rarest(batches, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the token-group matrix that are needed: of each set, the prefix of its rarest tokens that a partner must share, if classes share them."""
+    for batch in batches:
+        kept = []
+        for parts in batch.column("parts").to_pylist():
+            t = np.concatenate([np.frombuffer(x["t"], dtype=np.uint64) for x in parts])
+            f = np.concatenate([np.frombuffer(x["f"], dtype=np.int64) for x in parts])
+            first = np.lexsort((t, f))[: len(t) - overlap_needed(len(t)) + 1]
+            kept.append(t[first[f[first] > 1]])
+        yield _deal(kept, _numbers(batch, "r", "c", "g"), bits, ["ids", "classes", "grps"])
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Of one bucket of tokens: (q, g) if set q shares a prefix token with a set of group g, of its own group number or a higher one, in another class."""
+    t, r, c, g = _joined(table, tokens=np.uint64, ids=np.int64, classes=np.int64, grps=np.int64)
     order = np.lexsort((g, t))
-    t, c, g = t[order], c[order], g[order]
+    t, r, c, g = t[order], r[order], c[order], g[order]
     edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-    seen, left, right = set(), [], []
+    seen, qs, gs = set(), [], []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
-            continue
-        groups = np.unique(g[lo:hi])
-        if (key := groups.tobytes()) in seen:
+        if hi - lo < 2 or (c[lo:hi] == c[lo]).all() or (key := r[lo:hi].tobytes()) in seen:
             continue
         seen.add(key)
-        i, j = np.triu_indices(len(groups))
-        left.append(groups[i])
-        right.append(groups[j])
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), dtype=np.int64)
-    return pa.table({"g1": pairs[:, 0], "g2": pairs[:, 1]})
+        groups = np.unique(g[lo:hi])
+        i, j = np.nonzero(g[lo:hi][:, None] <= groups[None, :])
+        qs.append(r[lo:hi][i])
+        gs.append(groups[j])
+        if len(qs) > 2000:
+            qs, gs = ([x] for x in np.unique(np.stack([np.concatenate(qs), np.concatenate(gs)], 1), axis=0).T)
+    pairs = np.unique(np.stack([np.concatenate(qs), np.concatenate(gs)], 1), axis=0) if qs else np.zeros((0, 2), dtype=np.int64)
+    return pa.table({"q": pairs[:, 0], "g": pairs[:, 1]})
 
 
 def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
@@ -333,10 +365,10 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     3. Tokens are counted again, by class, on the prefix and then on whole sets: a set goes on only
        if enough of its tokens occur in other classes.
     4. What goes on is put in groups of about ``group_size`` sets with one leading set, so of
-       similar texts. The token-group matrix, kept by token, says which groups share prefix tokens
-       of different classes; those pairs of groups are opened. There, the union of the one group
-       bounds the overlap of each set of the other, and only sets whose bound reaches what they
-       need are compared, with the whole group at once.
+       similar texts. Tokens are ordered by the number of classes that hold them; of each set only
+       the rarest, one of which a partner must share, enter the token-group matrix, which says
+       what groups a set opens. There the union of the group bounds the overlap of the set, and
+       only if the bound reaches what it needs is it compared, with the whole group at once.
     Links of 2 and 4 are contracted to components. No link is missed (up to collisions of 64-bit
     hashes), no pair within a class is emitted, links between classes are emitted once a pair of
     classes, and each step's state is written in between.
@@ -385,13 +417,19 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     leaders = keys.select("r", "k").join(pivots, "k").groupBy("r").agg(F.min(F.struct("rank", "p")).alias("b")).select("r", F.col("b.p").alias("p"))
     on = staged(on.join(leaders, "r", "left").withColumn("lead", F.coalesce("p", "r")).drop("p"), "join-led")
     parts = staged(on.groupBy("lead").agg(F.ceil(F.count("*") / group_size).alias("parts")), "join-parts")
-    on = staged(on.join(parts, "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("r"), F.col("parts")))).select("c", "g", "tokens"), "join-groups")
+    on = staged(on.join(parts, "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("r"), F.col("parts")))).select("r", "c", "g", "tokens"), "join-groups")
     total = on.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     bits = min(16, max(3, (total // 2_000_000).bit_length()))
-    matrix = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, classes binary, grps binary")
-    opened = staged(matrix.groupBy("bucket").applyInArrow(_candidate_groups, "g1 long, g2 long").distinct(), "join-opened")
-    side = lambda name: reread(opened).join(reread(on).withColumnRenamed("g", name), name).select("g1", "g2", "c", "tokens").groupBy("g1", "g2")
-    far = staged(side("g1").cogroup(side("g2")).applyInArrow(_open, "u long, v long"), "join-far")
+    counted = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, ids binary, classes binary").groupBy("bucket").applyInArrow(_frequencies, "r long, t binary, f binary")
+    parts = counted.groupBy("r").agg(F.collect_list(F.struct("t", "f")).alias("parts")).join(reread(on).select("r", "c", "g"), "r")  # a row for each set
+    matrix = parts.mapInArrow(lambda b: _rarest(b, bits), "bucket int, tokens binary, ids binary, classes binary, grps binary")
+    opened = staged(matrix.groupBy("bucket").applyInArrow(_candidates, "q long, g long").distinct(), "join-opened")
+    # Sets that ask one group come in shares of bounded size, each with the group's sets.
+    asked = staged(opened.groupBy("g").agg(F.ceil(F.count("*") / (16 * group_size)).alias("shares")), "join-asked")
+    share = F.pmod(F.xxhash64("q"), F.col("shares")).cast("long").alias("share")
+    queries = opened.join(asked, "g").select("g", share, "q").join(reread(on).select(F.col("r").alias("q"), "c", "tokens"), "q").select("g", "share", "c", "tokens")
+    groups = on.select("g", "c", "tokens").join(reread(asked), "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("share"), "c", "tokens")
+    far = staged(queries.groupBy("g", "share").cogroup(groups.groupBy("g", "share")).applyInArrow(_open, "u long, v long"), "join-far")
     final = connected_components(near.union(far))
 
     label = sets.select("r", "sh").join(final, sets["r"] == final["node"], "left").select("sh", F.coalesce("component", "r").alias("label"))
