@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 LABELS = ("O", "EMAIL", "IP", "CARD", "PHONE")
 BASE = ("email", "ip", "card", "phone")
+#: Words whose scores a worker holds; words decoded at once.
+_KEEP, _SHARE = 400_000, 500_000
 _SPACE = "\x20\x09-\x0D"
 _WORD = re.compile(f"[^{_SPACE}]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -59,7 +62,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _DIGIT = re.compile("[0-9]")
-_MARKED = re.compile("[0-9@]")
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -75,12 +77,12 @@ def features(word: str) -> tuple[str, ...]:
     return (
         f"shape={''.join(shape)[:16]}", f"core={core[:16]}", f"digits={min(digits, 20)}", f"dots={min(word.count('.'), 5)}", f"at={min(word.count('@'), 2)}",
         f"first={shape[0]}", f"last={shape[-1]}", f"mixed={'x' in shape and 'd' in shape}", f"long={len(word) > 24}",
-        f"word={word.lower() if word.lower() in _CUES else ''}",
+        f"word={cue if (cue := word.lower().strip('.,')) in _CUES else ''}",
     )
 
 
 #: Words that stand in written-out addresses and before numbers (fixed values).
-_CUES = frozenset("at dot mail email e-mail phone tel call fax mobile card visa ip host address from to version page license commit sha id".split())
+_CUES = frozenset("at dot mail email e-mail phone tel call fax mobile card visa ip host address from to version page license commit sha id com net org".split())
 
 
 class Crf:
@@ -92,6 +94,7 @@ class Crf:
         self.index: dict[tuple[int, str], int] = {}
         self.weights = np.zeros((0, len(LABELS)))
         self.moves = np.zeros((len(LABELS), len(LABELS)))
+        self.scores: WordScores | None = None
 
     def _rows(self, words: list[str], grow: bool) -> list[list[int]]:
         named = [features(w) for w in words]
@@ -154,30 +157,67 @@ class Crf:
         return self
 
     def decode(self, sentences: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each sentence: Viterbi over all sentences at once, the longest first, a word at a time."""
-        order = sorted(range(len(sentences)), key=lambda i: -len(sentences[i]))
-        sizes = np.array([len(sentences[i]) for i in order])
-        longest, k = int(sizes[0]) if len(sizes) else 0, len(LABELS)
-        e = np.zeros((len(order), longest, k))
-        for j, i in enumerate(order):
-            for t, r in enumerate(self._rows(sentences[i], False)):
-                e[j, t] = self.weights[r].sum(0)
-        back = np.zeros((len(order), longest, k), dtype=np.int8)
-        best = e[:, 0].copy() if longest else np.zeros((0, k))
-        for t in range(1, longest):
-            live = int(np.searchsorted(-sizes, -t, side="left"))  # sentences with a word at t
-            x = best[:live, :, None] + self.moves[None]
-            back[:live, t] = x.argmax(1)
-            best[:live] = x.max(1) + e[:live, t]
-        out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(sentences)
-        for j, i in enumerate(order):
-            labels = np.zeros(sizes[j], dtype=int)
-            if sizes[j]:
-                labels[-1] = best[j].argmax()
-            for t in range(sizes[j] - 1, 0, -1):
-                labels[t - 1] = back[j, t, labels[t]]
-            out[i] = labels
-        return out
+        """Best labels of each sentence."""
+        sizes = np.array([len(x) for x in sentences], dtype=np.int64)
+        labels = self.decode_lines([[w.encode("utf-8", "surrogatepass") for w in x] for x in sentences if x], sizes[sizes > 0])
+        return np.split(labels, np.cumsum(sizes)[:-1])
+
+    def decode_lines(self, lines: list[list[bytes]], sizes: np.ndarray) -> np.ndarray:
+        """Best labels of all words of the lines (none empty), one after the other: Viterbi over all lines at once, the longest first."""
+        if not lines:
+            return np.zeros(0, dtype=int)
+        if self.scores is None or len(self.scores) > _KEEP or self.scores.n > _KEEP:
+            self.scores = WordScores(self)
+        c = np.fromiter(map(self.scores.__getitem__, chain.from_iterable(lines)), dtype=np.int64, count=int(sizes.sum()))
+        before, here, after = self.scores.table.transpose(1, 0, 2)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        left, right = np.roll(c, 1), np.roll(c, -1)
+        left[starts] = right[ends - 1] = 0  # the edge
+        e = here[c] + before[left] + after[right]
+        lanes = starts[np.argsort(-sizes, kind="stable")]
+        live = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max())), side="right")  # lines with a word at t
+        back = np.zeros(e.shape, dtype=np.int8)
+        best = e[lanes]
+        for t in range(1, len(live)):
+            at = lanes[: live[t]] + t
+            x = best[: live[t], :, None] + self.moves
+            back[at] = x.argmax(1)
+            best[: live[t]] = x.max(1) + e[at]
+        labels = np.zeros(len(c), dtype=np.int64)
+        labels[np.sort(-sizes) * -1 + lanes - 1] = best.argmax(1)
+        for t in range(len(live) - 1, 0, -1):
+            at = lanes[: live[t]] + t
+            labels[at - 1] = back[at, labels[at]]
+        return labels
+
+
+class WordScores(dict):
+    """Word -> row of ``table``: what it adds to the scores of the next word, of itself and of the word before; row 0 is the edge."""
+
+    def __init__(self, crf: Crf):
+        super().__init__()
+        self.crf, self.rows, self.n = crf, {}, 0
+        self.table = np.zeros((1024, len(crf.SIDES), len(LABELS)))
+        self._row(("edge",))
+
+    def _row(self, named: tuple[str, ...]) -> int:
+        at = self.rows.get(named)
+        if at is None:
+            at = self.rows[named] = self.n
+            self.n += 1
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for i, side in enumerate(self.crf.SIDES):
+                known = [self.crf.index[side, x] for x in named if (side, x) in self.crf.index]
+                self.table[at, i] = self.crf.weights[known].sum(0)
+        return at
+
+    def __missing__(self, word: bytes) -> int:
+        at = self._row(features(word.decode("utf-8", "surrogatepass")))
+        if len(word) < 64:
+            self[word] = at
+        return at
 
 
 def labelled_table(n: int = 400, seed: int = 9) -> list[tuple[list[str], list[str]]]:
@@ -186,11 +226,13 @@ def labelled_table(n: int = 400, seed: int = 9) -> list[tuple[list[str], list[st
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     letters = lambda a, b: "".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(a, b)))
 
-    plain_cues = ("at", "at", "to", "from", "to", "at", "version", "page", "address", "card", "host", "call")
+    plain_cues = ("at", "at", "to", "from", "to", "at", "version", "page", "address", "card", "host", "call", "dot", "com", "net")
+    signs = ("|", "#", "-", "*", "=", "{", "}", "[", "]", "/", "&", "...", "--", "==", "[x]", "#x", "<p>", "(x)")
 
     def filler() -> list[str]:
         words = [rng.choice(plain_cues) if rng.random() < 0.2 else letters(2, 11) for _ in range(rng.randint(0, 7))]
-        return [w.capitalize() if rng.random() < 0.1 else w + rng.choice(["", "", "", ".", ","]) for w in words]
+        words = [w.capitalize() if rng.random() < 0.1 else w + rng.choice(["", "", "", ".", ","]) for w in words]
+        return [rng.choice(signs) if rng.random() < 0.03 else w for w in words]
 
     def card() -> str:
         body = "4" + digits(14)
@@ -208,9 +250,9 @@ def labelled_table(n: int = 400, seed: int = 9) -> list[tuple[list[str], list[st
         if kind == 1:
             return [f"<{name}@{host}.org>{stop}"], "EMAIL"
         if kind == 2:
-            return [f"{name}{digits(2)}", "at", host, "dot", "com"], "EMAIL"
+            return [f"{name}{digits(rng.choice((0, 2)))}", "at", host, "dot", rng.choice(("com", "net", "org")) + stop], "EMAIL"
         if kind == 3:
-            return [f"{name}(at){host}.net{stop}"], "EMAIL"
+            return [f"{name}{rng.choice(('(at)', '[at]'))}{host}.net{stop}"], "EMAIL"
         if kind == 4:
             return [".".join(octets) + stop], "IP"
         if kind == 5:
@@ -248,34 +290,41 @@ def labelled_table(n: int = 400, seed: int = 9) -> list[tuple[list[str], list[st
     return table
 
 
-def _islands(text: str) -> Iterator[list[re.Match]]:
-    """Runs of words around those with a digit or an @, with five plain words on each side; whole text, line by line."""
-    base = 0
-    for line in text.split("\n"):
-        if _MARKED.search(line):
-            words = list(_WORD.finditer(text, base, base + len(line)))
-            marked = [i for i, w in enumerate(words) if _MARKED.search(w[0])]
-            lo = hi = -1
-            for i in marked:
-                if lo < 0:
-                    lo = max(0, i - 5)
-                elif i - 5 > hi:
-                    yield words[lo:hi]
-                    lo = i - 5
-                hi = min(len(words), i + 6)
-            if lo >= 0:
-                yield words[lo:hi]
-        base += len(line) + 1
+def _shares(texts: list[str]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """The words of every line of every text, with the numbers of text and line, in shares of bounded size."""
+    held, n = [], 0
+    for i, text in enumerate(texts):
+        for j, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+            words = line.split()  # bytes: the white space of _SPACE
+            if words:
+                held.append((i, j, words))
+                n += len(words)
+            if n > _SHARE:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _line(text: str, j: int) -> tuple[int, int]:
+    """Start and end of line ``j``."""
+    s = 0
+    for _ in range(j):
+        s = text.index("\n", s) + 1
+    e = text.find("\n", s)
+    return s, len(text) if e < 0 else e
 
 
 def find_spans(texts: list[str], crf: Crf) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """For each text its base spans and the spans that only the model finds."""
+    """For each text its base spans and the spans that only the model finds; every word of every line is decoded."""
     base = [base_spans(t) for t in texts]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    islands = [(i, w) for i, t in enumerate(texts) if _MARKED.search(t) for w in _islands(t)]
-    for lo in range(0, len(islands), 2048):
-        part = islands[lo : lo + 2048]
-        for (i, words), labels in zip(part, crf.decode([[m[0] for m in w] for _, w in part]), strict=True):
+    for part in _shares(texts):
+        sizes = np.array([len(w) for _, _, w in part], dtype=np.int64)
+        flat, ends = crf.decode_lines([w for _, _, w in part], sizes), np.cumsum(sizes)
+        for row in np.unique(np.searchsorted(ends, np.flatnonzero(flat), side="right")):
+            i, j, _ = part[row]
+            words, labels = list(_WORD.finditer(texts[i], *_line(texts[i], j))), flat[ends[row] - sizes[row] : ends[row]]
             t = 0
             while t < len(words):
                 u = t + 1
@@ -300,9 +349,9 @@ def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", t
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_crf for every row.
 
     Base spans come from the patterns alone and always stay. The field is trained on ``table``
-    (sentences of words and LABELS; by default labelled_table()) and decodes every run of words
-    around a digit or an @ in every line of every text; its spans are added where they do not
-    overlap base spans, as crf_email, crf_ip, crf_card or crf_phone.
+    (sentences of words and LABELS; by default labelled_table()) and decodes every word of every
+    line of every text; its spans are added where they do not overlap base spans, as crf_email,
+    crf_ip, crf_card or crf_phone.
 
     Null and empty texts have no spans. Rows are kept one for one, repeated rows and null keys
     too; other columns are ignored; an empty table gives an empty result. No shuffle; the model is

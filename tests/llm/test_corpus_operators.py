@@ -333,6 +333,36 @@ def test_field_labels_held_out_sentences():
     assert right / total > 0.98
 
 
+def test_letters_only_addresses_are_found_without_neighbours():
+    crf = pii.Crf().train(pii.labelled_table())
+    kinds = ("anna(at)host.net", "bruno[at]sipod.net", "anna at host dot com", "carla at sipod dot com")
+    before = "and then she said that everyone in the house may write"
+    texts = [t for a in kinds for t in (a, f"{before} to {a} for more", f"17 apples\n{before} {a}\n\n  {before}")]
+    for t, (base, added) in zip(texts, pii.find_spans(texts, crf), strict=True):
+        assert not base and any(t[s:e] in kinds and pii.NAMES[k] == "crf_email" for s, k, e in added), t
+    assert pii.find_spans([before, "", "\n \t\n"], crf) == [([], [])] * 3
+
+
+def test_field_decodes_lines_as_plain_viterbi(monkeypatch):
+    crf = pii.Crf().train(pii.labelled_table())
+    lines = [w for w, _ in pii.labelled_table(60, seed=4)] + [[], ["x"] * 300]
+    for words_, got in zip(lines, crf.decode(lines), strict=True):
+        best, ways = None, []
+        for row in crf._rows(words_, False):
+            step = np.zeros(5) if best is None else (best[:, None] + crf.moves).max(0)
+            ways.append(None if best is None else (best[:, None] + crf.moves).argmax(0))
+            best = step + crf.weights[row].sum(0)
+        want = [int(best.argmax())] if words_ else []
+        for way in ways[:0:-1]:
+            want.insert(0, int(way[want[0]]))
+        assert got.tolist() == want
+    texts = ["\n".join(" ".join(w) for w in lines)] * 2
+    whole = pii.find_spans(texts, crf)
+    monkeypatch.setattr(pii, "_SHARE", 20)
+    monkeypatch.setattr(pii, "_KEEP", 3)
+    assert pii.find_spans(texts, crf) == whole
+
+
 def components(rows):
     sets = []
     for _, t in rows:
