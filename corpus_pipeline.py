@@ -34,20 +34,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of linked documents; texts without words link with nothing."""
+    """Keep one document, that of the smallest id (null ids last), of each group of linked documents; texts without words link with nothing."""
     docs = _hashed(docs).withColumn("_t", F.xxhash64("text"))
-    found = staged(jaccard_join.similar_components(docs), "pipe-components")
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_h")).distinct()
-    gone = staged(gone, "pipe-copies")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["m_id"]) & (docs["_t"] == gone["m_h"]), "left_anti")
-    # Rows that repeat an id within one group: as a rule there are none.
-    twice = found.filter((F.col("n_shingles") > 0) & F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").count().filter("count > 1")
-    twice = staged(twice.select(F.col("doc_id").alias("m_id")), "pipe-repeated")
+    found = staged(jaccard_join.similar_components(docs).filter("lead is not null"), "pipe-components")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))
+    mark = (F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_h"))
+    at = lambda marks: docs["doc_id"].eqNullSafe(marks["m_id"]) & (docs["_t"] == marks["m_h"])
+    gone = staged(found.filter(~leads).select(*mark).distinct(), "pipe-copies")
+    left = docs.join(gone, at(gone), "left_anti")
+    # Rows that repeat both id and text of the one that stays: as a rule there are none.
+    twice = staged(found.filter(leads).groupBy(*mark).count().filter("count > 1").select("m_id", "m_h"), "pipe-repeated")
     if twice.isEmpty():
         return left.select(*COLUMNS)
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    again = left.filter(words).join(twice, left["doc_id"].eqNullSafe(twice["m_id"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("s"))
-    alone = left.join(twice, left["doc_id"].eqNullSafe(twice["m_id"]) & words, "left_anti")
+    again = left.join(twice, at(twice), "left_semi").groupBy("doc_id", "_t").agg(F.min(F.struct(*COLUMNS[1:])).alias("s"))
+    alone = left.join(twice, at(twice), "left_anti")
     return alone.select(*COLUMNS).unionByName(again.select("doc_id", "s.*"))
 
 

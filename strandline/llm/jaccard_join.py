@@ -349,12 +349,14 @@ def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", group_size: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest key reachable by links, its own included) and text_hash of every row.
+    """doc_id, n_shingles, component_id (smallest key reachable by links, its own included), text_hash and lead of every row.
 
     Two rows link if their sets of distinct N-word shingles (ASCII lower case) have a Jaccard
     similarity of 3/4 or more. Texts under N words have one shingle, texts without words none and
     no links. Equal sets are linked. Null texts are empty; a null key is below no other; rows are
-    kept one for one, repeated rows too; only the named columns are read.
+    kept one for one, repeated rows too; only the named columns are read. ``lead`` tells components
+    apart where keys are null or repeated: key and text_hash of the component's first row, null keys
+    last; null in rows that link with no other.
 
     1. Shingle hashes are ordered by value. Similar sets share at least a known number of the
        tokens in a prefix of that order, so sets that share fewer prefix tokens with all others
@@ -380,7 +382,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     total = some.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     counts = _shared_counts(some.withColumn("g", F.col("i")), FIRST, total // 8)
     need = lambda part: F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / part))
-    kept = staged(some.select("i", "doc_id", "n", "sh").join(counts, "i").filter(F.col("c") >= need(FIRST)).select("doc_id", "sh"), "join-kept")
+    kept = staged(some.select("i", "doc_id", "text_hash", "n", "sh").join(counts, "i").filter(F.col("c") >= need(FIRST)).select("doc_id", "text_hash", "sh"), "join-kept")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _FILTER_BITS)).alias("at")
     wanted = _bit_filter(kept.select(at("doc_id")))
     full = src.select(at("doc_id"), "text").mapInArrow(lambda b: _full_sets(b, wanted), "sh binary, n long, tokens binary, keys array<long>")
@@ -435,7 +437,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     label = sets.select("r", "sh").join(final, sets["r"] == final["node"], "left").select("sh", F.coalesce("component", "r").alias("label"))
     label = staged(label, "join-labels")
     with_label = kept.join(label, "sh")
-    least = staged(with_label.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-least")
-    of_set = staged(label.join(least, "label").select("sh", "component_id"), "join-of-set")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = staged(with_label.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("lead")), "join-least")
+    of_set = staged(label.join(least, "label").select("sh", "component_id", F.struct("lead.doc_id", "lead.text_hash").alias("lead")), "join-of-set")
     out = docs.select("doc_id", "text_hash", "n", "sh").join(of_set, "sh", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "lead")

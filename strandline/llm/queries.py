@@ -61,7 +61,7 @@ def op9_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_components(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash")
+    return jaccard_join.similar_components(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash", "lead")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

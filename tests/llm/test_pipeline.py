@@ -27,6 +27,20 @@ def test_stages_keep_columns_and_decisions_take_effect(spark):
     assert {p["doc_id"] for p in pieces} == {d for d, _ in seen["source_mix"]}
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    clean = lambda i: " ".join(f"w{i}x{j}" for j in range(80))
+    row = lambda i, t, source="s": (i, t, "en", source, 1)
+    rows = [row(None, clean(1)), row(None, clean(2)), row(None, clean(3)), row(7, clean(4)), row(7, clean(5)), row(7, clean(6))]
+    copies = [row(None, clean(4) + " more"), row(9, clean(5)), row(None, clean(2) + " more"), row(7, clean(6), "t"), row(7, clean(6)), row(None, clean(3))]
+    blank = [row(None, None), row(None, " "), row(7, ""), row(7, None)]
+    docs = spark.createDataFrame(rows + copies + blank, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    one_of = [row(None, clean(2)), row(None, clean(2) + " more")]  # by the hash of the text
+    assert sum(r in one_of for r in got) == 1
+    rest = [r for r in got if r not in one_of]
+    assert sorted(rest, key=str) == sorted([r for r in rows if r not in one_of] + blank, key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
