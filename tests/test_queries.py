@@ -33,3 +33,14 @@ def test_queries_equal_their_sql(spark, name):
     columns = sorted(df.columns)
     want = db.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({SQL[name]})").fetchall()
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_short_quotes_are_found(spark):
+    from strandline.plans import texts
+
+    quotes = ["extraordinarily", "collective agreement", "arbitration of the award", "one two three four fi", "two three four five six seven", "absent altogether"]
+    docs = [(i, f"zero x{q}x after that and more words" if i != 4 else f"one {q} eight") for i, q in enumerate(quotes[:5])] + [(9, "nothing of it is in here at all")]
+    frames = {"benchmark": spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string"), "documents": spark.createDataFrame(docs, "doc_id long, text string")}
+    got = sorted((r["doc_id"], r["item_id"]) for r in texts.q_verbatim(frames.__getitem__).collect())
+    want = sorted((i, j) for i, t in docs for j, q in enumerate(quotes) if q in t)
+    assert got == want and {(i, i) for i in range(5)} <= set(got)
