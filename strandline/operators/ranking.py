@@ -1,7 +1,7 @@
 """Ranks, tiers, batches, sequences and consecutive runs.
 
-Global ranks come from a range partitioning and per-range counts (see running_total()), never
-from one task; windows are per key.
+Global ranks come from a range partitioning that is written once, and from per-range counts (see
+position()), never from one task; windows are per key.
 """
 
 from __future__ import annotations
@@ -10,27 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stages import reread, staged
+
 W = Window
+_ROW = (1 << 33) - 1  # the part of a generated id that counts a partition's rows
+
+
+def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows sorted in ranges of ``order``, with _p (range) and _r (row in it), written: the ranges are drawn once, whatever reads them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return staged(rows.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND(F.lit(_ROW))).drop("_m"), "ranked")
+
+
+def _starts(sums: DataFrame) -> DataFrame:
+    """(_p, _start): the sums of the ranges before each; one row a range."""
+    before = F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sums.select("_p", before.alias("_start"))
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Running sum in a global order without a single-task window: range partitions, summed within, plus the sums of the ranges before.
 
-    The number of ranges is fixed, so that both readers of the exchange see the same ranges; end
-    the order with a key where rows may tie.
+    End the order with a key where rows may tie. The table is written between dealing and summing.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    sums = dealt.groupBy("_p").agg(F.sum("_v").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_p", before.alias("_start"))  # a row for each range
-    local = F.sum("_v").over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return dealt.withColumn("_n", local).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_n", "_v", "_start")
+    dealt = _dealt(df.withColumn("_v", value), order)
+    starts = _starts(reread(dealt).groupBy("_p").agg(F.sum("_v").alias("_s")))
+    local = F.sum("_v").over(W.partitionBy("_p").orderBy("_r").rowsBetween(W.unboundedPreceding, 0))
+    return dealt.withColumn("_n", local).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_r", "_n", "_v", "_start")
 
 
 def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Global row number in a total order."""
-    return running_total(df, order, F.lit(1), name)
+    """Global row number in a total order: one exchange, no window over rows."""
+    dealt = _dealt(df, order)
+    starts = _starts(reread(dealt).groupBy("_p").agg(F.count("*").alias("_s")))
+    return dealt.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_r") + 1).drop("_p", "_r", "_start")
 
 
 def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -68,9 +82,15 @@ def rank_variants(df: DataFrame, key: str, scores: dict[str, Column], ties: list
 
 
 def round_robin(df: DataFrame, tier: str, stratum: str, order: list[Column], name: str = "position") -> DataFrame:
-    """Within a tier, cycle k takes each stratum's k-th row; the cycle's rows stand in ``order``."""
+    """Within a tier, cycle k takes each stratum's k-th row; the cycle's rows stand in ``order``.
+
+    Positions in a tier are global positions less those of the tiers before, so a tier with most
+    rows is dealt over many tasks.
+    """
     cycle = df.withColumn("cycle", F.row_number().over(W.partitionBy(tier, stratum).orderBy(*order)))
-    return cycle.withColumn(name, F.row_number().over(W.partitionBy(tier).orderBy("cycle", *order)))
+    placed = position(cycle, [F.col(tier), F.col("cycle"), *order], "_at")
+    first = placed.groupBy(F.col(tier).alias("_tier")).agg((F.min("_at") - 1).alias("_before"))
+    return placed.join(first, F.col(tier).eqNullSafe(F.col("_tier"))).withColumn(name, F.col("_at") - F.col("_before")).drop("_at", "_tier", "_before")
 
 
 def slices(rank: Column, size: int) -> Column:
