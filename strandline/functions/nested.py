@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +51,35 @@ def candidates_or_failure(df: DataFrame, response: str, item: str, flat: str, ke
     return listed.withColumn("parse_status", status).select("*", F.posexplode_outer("_items").alias("position", "_c")).select(*df.columns, "parse_status", "position", "_c.kind", "_c.item")
 
 
-def sources_in(c: Column, url: str = "url", title: str = "title") -> Column:
-    """All objects with a URL, at any depth of a JSON text, distinct by (url, title) in order of first sight.
-
-    Two patterns find flat objects in whatever order their keys stand; deeper values keep their text.
+def _listed_sources(text: str | None, under: str) -> list[dict[str, str]]:
+    try:
+        payload = json.loads(text or "")
+    except ValueError:
+        return []
+    found: dict[tuple[str, str], None] = {}
+    todo = [payload.get(under, []) if isinstance(payload, dict) else payload]
+    while todo:  # depth first, a parent's own list before its children
+        node = todo.pop()
+        if isinstance(node, dict):
+            for item in node["sources"] if isinstance(node.get("sources"), list) else []:
+                if isinstance(item, dict) and (url := str(item.get("url") or "")):
+                    found.setdefault((url, str(item.get("title") or "")))
+        todo += reversed(list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else [])
+    return [{"url": u, "title": t} for u, t in found]
+
+
+def sources_in(c: Column, under: str = "output") -> Column:
+    """Items with a URL of every ``sources`` list at any depth of a JSON text, distinct by (url, title) in order of first sight.
+
+    A document is searched from its field ``under``, a list from its top. Depth has no bound, so
+    this walks each text in Arrow batches.
     """
-    objects = F.regexp_extract_all(c, F.lit(r"\{[^{}]*\}"), F.lit(0))
-    parsed = F.transform(objects, lambda o: F.from_json(o, f"{url} string, {title} string"))
-    return F.array_distinct(F.filter(parsed, lambda x: x[url].isNotNull()))
+
+    @F.pandas_udf("array<struct<url:string,title:string>>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _listed_sources(t, under))
+
+    return walk(c)
 
 
 def zip_numbered(quotes: Column, pages: Column) -> Column:
@@ -86,9 +110,15 @@ def unpivot_lists(df: DataFrame, ids: list[str], attributes: list[str]) -> DataF
 
 
 def list_cell(c: Column) -> Column:
-    """A cell as a list: a JSON array, one JSON value, or the bare text; blank gives none."""
-    listed = F.from_json(c, "array<string>")
-    return F.when(c.isNull() | (F.trim(c) == ""), F.array().cast("array<string>")).when(F.trim(c).startswith("[") & listed.isNotNull(), listed).otherwise(F.array(c))
+    """A cell as a list of texts: a JSON (or single-quoted) array's items, objects as JSON; one object alone; else the bare text; blank gives none."""
+    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    t = F.trim(c)
+    listed = F.coalesce(F.from_json(t, "array<string>"), F.from_json(F.trim(literal), "array<string>"))
+    one = F.coalesce(F.from_json(t, "map<string,string>"), F.from_json(F.trim(literal), "map<string,string>"))
+    return (
+        F.when(c.isNull() | (t == ""), F.array().cast("array<string>")).when(t.startswith("[") & listed.isNotNull(), listed)
+        .when(t.startswith("{") & one.isNotNull(), F.array(F.to_json(one))).otherwise(F.array(c))
+    )
 
 
 def first_field(*columns: Column) -> Column:
@@ -98,3 +128,13 @@ def first_field(*columns: Column) -> Column:
 
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
+
+
+def record_sets(df: DataFrame, response: str, sets: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """For each named list of a JSON payload: a row per record with the fixed columns in order; absent fields and NaN are null."""
+    out = {}
+    for name, columns in sets.items():
+        item = "struct<" + ",".join(f"`{c}`:string" for c in columns) + ">"
+        each = df.select(F.explode(F.from_json(F.col(response), f"`{name}` array<{item}>")[name]).alias("r"))
+        out[name] = each.select(*[F.when(~F.col(f"r.{c}").isin("NaN", "nan"), F.col(f"r.{c}")).alias(c) for c in columns])
+    return out

@@ -212,13 +212,13 @@ CREDENTIALS = (
 )
 
 
-def redact(c: Column, known: tuple[str, ...] = (), patterns: tuple[str, ...] = CREDENTIALS, limit: int = 2000) -> Column:
-    """Known secrets (the longest first), then credential syntax, become [REDACTED]; cut to ``limit``."""
+def redact(c: Column, known: tuple[str, ...] = (), patterns: tuple[str, ...] = CREDENTIALS, limit: int | None = 2000) -> Column:
+    """Known secrets (the longest first), then credential syntax, become [REDACTED]; cut to ``limit`` (None: whole)."""
     for s in sorted({k for k in known if k}, key=len, reverse=True):
         c = F.replace(c, F.lit(s), F.lit("[REDACTED]"))
     for p in patterns:
         c = F.regexp_replace(c, p, "$1[REDACTED]")
-    return F.substring(c, 1, limit)
+    return c if limit is None else F.substring(c, 1, limit)
 
 
 def hints(templates: tuple[str, ...], **columns: Column) -> Column:

@@ -112,7 +112,10 @@ def test_lists(spark, ask):
         nested.zip_numbered(F.col("q"), F.col("p")).alias("z"), nested.best_of(F.col("v"), ("z", "a")).alias("best"), nested.best_of(F.col("v"), ("n",)).alias("least"), nested.has_all(F.col("v"), ("b",)).alias("all")
     ).first()
     assert [tuple(x) for x in row["z"]] == [(1, "q1", "7"), (2, "q2", "")] and (row["best"], row["least"], row["all"]) == ("z", "b", True)
-    assert [tuple(x) for x in ask(['{"x":[{"url":"u1","title":"t"},{"title":"t","url":"u1"},{"y":{"url":"u2"}}]}'], nested.sources_in(A))] == [("u1", "t"), ("u2", None)]
+    deep = '{"output":[{"sources":[{"url":"u1","title":"t","meta":{"x":[{"url":"no"}]}},{"title":"t","url":"u1"}]},{"y":{"sources":[{"url":"u2"},5,{"title":"no url"}]}}],"sources":[{"url":"outside"}]}'
+    assert [tuple(x) for x in ask([deep], nested.sources_in(A))] == [("u1", "t"), ("u2", "")]
+    assert ask(["not json"], nested.sources_in(A)) == [] and [tuple(x) for x in ask(["[" * 400 + '{"sources":[{"url":"u"}]}' + "]" * 400], nested.sources_in(A))] == [("u", "")]
+    assert len(ask(["{'a': 'x', 'b': 'y'}"], nested.list_cell(A))) == 1 and ask(["['a', None]"], nested.list_cell(A)) == ["a", None]
     assert ask(["see https://a.b/c. and https://a.b/c, http://x.y"], strings.urls_in(A)) == ["https://a.b/c", "http://x.y"] and ask(["**One** x **Two** **One**"], strings.bold_in(A)) == ["One", "Two"]
 
 
