@@ -33,15 +33,49 @@ def write_checked(df: DataFrame, path: str, fields: list[str]) -> int:
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Write beside the table and rename over it, so readers see the old or the new one."""
+    """Write beside the table, then swap by two renames.
+
+    Between them the path names no table for a moment; if the second fails, the old table is put
+    back. Readers that must never miss it read through publish() and current().
+    """
     spark, part = df.sparkSession, f"{path}.part-{uuid.uuid4().hex}"
     df.write.parquet(part)
     target, fs = _fs(spark, path)
-    old = f"{path}.old-{uuid.uuid4().hex}"
-    if fs.exists(target):
-        fs.rename(target, _fs(spark, old)[0])
-    fs.rename(_fs(spark, part)[0], target)
-    fs.delete(_fs(spark, old)[0], True)
+    old, had = _fs(spark, f"{path}.old-{uuid.uuid4().hex}")[0], fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(_fs(spark, part)[0], target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{part} cannot be moved to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside and renamed over the old one in one step: readers see the old or the new text."""
+    jvm, (tmp, fs) = spark.sparkContext._jvm, _fs(spark, f"{path}.part-{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    target, conf = _fs(spark, path)[0], spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(tmp, target, how)
+
+
+def publish(df: DataFrame, root: str) -> str:
+    """Write a version of a table under ``root`` and make it the current one in one step; returns its path."""
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    write_text(df.sparkSession, f"{root}/CURRENT", path)
+    return path
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The current version of a published table."""
+    return spark.read.parquet(spark.read.text(f"{root}/CURRENT").first()[0])
 
 
 def append(df: DataFrame, path: str) -> None:

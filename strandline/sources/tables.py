@@ -23,9 +23,13 @@ def null_blanks(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def read_csv(spark: SparkSession, path: str, required: list[str] | None = None, schema: str | None = None, sep: str = ",") -> DataFrame:
-    """CSV with a header, quoted line breaks and long cells; a byte-order mark is dropped; raises if a required column is absent."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep).option("maxCharsPerColumn", -1)
+def read_csv(spark: SparkSession, path: str, required: list[str] | None = None, schema: str | None = None, sep: str = ",", lines_in_cells: bool = True) -> DataFrame:
+    """CSV with a header and long cells; a byte-order mark is dropped; raises if a required column is absent.
+
+    Quoted line breaks make each file one task; large files without them are split if
+    ``lines_in_cells`` is false.
+    """
+    reader = spark.read.option("header", True).option("multiLine", lines_in_cells).option("escape", '"').option("sep", sep).option("maxCharsPerColumn", -1)
     df = (reader.schema(schema) if schema else reader).csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     if gone := [c for c in required or [] if c not in df.columns]:
