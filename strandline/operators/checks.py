@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.strings import blank
 from ..functions.values import valid_date
@@ -43,9 +42,11 @@ def in_range(df: DataFrame, row: str, ranges: dict[str, tuple[float, float]]) ->
 
 def unique(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
     """Repeats of a non-blank key, each with the row it repeats (the first in row order)."""
-    by = Window.partitionBy(*keys).orderBy(row)
-    d = df.filter(~blank(F.concat_ws("", *[_text(k) for k in keys]))).select(F.col(row).alias("_row"), F.first(row).over(by).alias("_first"), F.row_number().over(by).alias("_n"))
-    return d.filter("_n > 1").select(F.lit("unique").alias("check"), F.col("_row").cast("string").alias("row"), F.lit(",".join(keys)).alias("field"), F.concat(F.lit("repeats row "), F.col("_first").cast("string")).alias("message"))
+    d = df.filter(~blank(F.concat_ws("", *[_text(k) for k in keys]))).select(F.col(row).alias("_row"), F.xxhash64(*keys).alias("_h"), *keys)
+    twice = d.groupBy("_h", *keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")  # partial counts first: a hot key is no hot task
+    same = [d["_h"] == twice["_h"], *[d[k].eqNullSafe(twice[k]) for k in keys]]
+    again = d.join(twice, same).filter(F.col("_row") != F.col("_first"))
+    return again.select(F.lit("unique").alias("check"), F.col("_row").cast("string").alias("row"), F.lit(",".join(keys)).alias("field"), F.concat(F.lit("repeats row "), F.col("_first").cast("string")).alias("message"))
 
 
 def flag_agrees(df: DataFrame, row: str, flag: str, derived: Column, known: Column) -> DataFrame:
@@ -99,4 +100,5 @@ def same_values(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> Data
 def concentrated(df: DataFrame, group: str, most_rows: int, most_share: float) -> DataFrame:
     """Groups with too many rows or too large a share of them."""
     n = df.groupBy(group).count()
-    return n.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy())).filter((F.col("count") > most_rows) | (F.col("share") > most_share))
+    n = n.crossJoin(F.broadcast(n.agg(F.sum("count").alias("_all"))))  # one row
+    return n.withColumn("share", F.col("count") / F.col("_all")).drop("_all").filter((F.col("count") > most_rows) | (F.col("share") > most_share))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.values import ratio, smoothed
 
@@ -47,12 +46,9 @@ def long_totals(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
 def smoothed_rates(df: DataFrame, by: str, n: Column, successes: dict[str, Column], strength: float = 25.0) -> DataFrame:
     """Rates per group pulled to the rate over all groups; the overall row is one aggregate of the groups."""
     g = df.groupBy(by).agg(n.alias("n"), *[s.alias(k) for k, s in successes.items()])
-    all_ = Window.partitionBy()
-    out = g
-    for k in successes:
-        prior = F.coalesce(ratio(F.sum(k).over(all_), F.sum("n").over(all_)), F.lit(0.0))
-        out = out.withColumn(f"{k}_rate", smoothed(F.col(k), F.col("n"), prior, strength))
-    return out
+    prior = {k: F.coalesce(ratio(F.sum(k), F.sum("n")), F.lit(0.0)).alias(f"_{k}") for k in successes}
+    out = g.crossJoin(F.broadcast(g.agg(*prior.values())))  # one row
+    return out.withColumns({f"{k}_rate": smoothed(F.col(k), F.col("n"), F.col(f"_{k}"), strength) for k in successes}).drop(*[f"_{k}" for k in successes])
 
 
 def histogram(c: Column, edges: list[float]) -> Column:
