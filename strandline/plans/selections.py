@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import scoring, selection
+from ..operators import ranking, scoring, selection
 from .registry import query
 
 
@@ -18,13 +18,14 @@ def q_batches_with_carry(t):
 
 
 @query("""
-select o_orderkey, case when o_orderkey % 6 = 1 then 'failed' when o_orderkey % 2 = 0 then 'done' else 'not_run' end as state, case when o_orderkey % 2 = 0 then 'b' end as answer from orders""")
+select o_orderkey, case when o_orderkey % 6 = 1 then 'failed' when o_orderkey % 2 = 0 then 'done' else 'not_run' end as state, case when o_orderkey % 2 = 0 then 'b' end as answer, case when o_orderkey % 5 = 0 then 40 end as ms from orders""")
 def q_timing_of_rows(t):
     o, k = t("orders").select("o_orderkey"), F.col("o_orderkey")
     raw = o.filter(k % 2 == 0)
     raw = raw.withColumns({"answer": F.lit("a"), "s": F.lit(1)}).unionByName(raw.withColumns({"answer": F.lit("b"), "s": F.lit(2)}))
     failed = o.filter(k % 6 == 1).withColumns({"why": F.lit("x"), "s": F.lit(1)})
-    return selection.timing_of_rows(o, raw, failed, o.limit(0).withColumns({"ms": F.lit(1), "s": F.lit(1)}), "o_orderkey", "s").select("o_orderkey", "state", "answer")
+    timed = o.filter(k % 5 == 0).select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("s")).withColumn("ms", F.col("s") * 10)
+    return selection.timing_of_rows(o, raw, failed, timed, "o_orderkey", "s").select("o_orderkey", "state", "answer", "ms")
 
 
 @query("select o_orderkey, case when o_orderkey % 3 = 0 then 'retry' else 'main' end as run from orders")
@@ -39,9 +40,9 @@ def q_success_ledger(t):
     return selection.success_ledger(e.select("user_id", "run", "day").distinct(), e.filter("event_type = 'error'"), "user_id", "run", "day")
 
 
-@query("select event_type, string_agg(distinct 'u' || user_id::varchar, '; ' order by 'u' || user_id::varchar) as runs from events where user_id < 12 group by 1")
+@query("select event_type, string_agg(distinct 'u' || user_id::varchar, '; ' order by 'u' || user_id::varchar) as runs from events group by 1")
 def q_inverted_runs(t):
-    per = t("events").filter("user_id < 12").groupBy(F.concat(F.lit("u"), "user_id").alias("run")).agg(F.collect_set("event_type").alias("ids"))
+    per = t("events").groupBy(F.concat(F.lit("u"), "user_id").alias("run")).agg(F.collect_set("event_type").alias("ids"))
     return selection.run_inverted(per, "run", "ids", "event_type")
 
 
@@ -108,8 +109,6 @@ def q_group_advice(t):
 
 @query("select batch, count(*) as \"count\" from (select (row_number() over (order by p_partkey) - 1) // 50 + case when p_partkey = 7 then 1 else 0 end as batch from part) group by 1 having count(*) <> 50")
 def q_batch_sizes(t):
-    from pyspark.sql.window import Window
-
-    p = t("part").select("p_partkey", F.row_number().over(Window.orderBy("p_partkey")).alias("n"))
+    p = ranking.position(t("part").select("p_partkey"), [F.col("p_partkey")], "n")
     b = p.select((F.floor((F.col("n") - 1) / 50) + F.when(F.col("p_partkey") == 7, 1).otherwise(0)).alias("batch"))
     return selection.batch_sizes_agree(b, "batch", 50)

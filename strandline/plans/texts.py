@@ -21,9 +21,9 @@ def q_json_extract(t):
 
 
 @query("""
-select o_orderkey, kind, id from (select o_orderkey, unnest([{'kind': 'a', 'id': o_orderkey}, {'kind': 'a', 'id': o_orderkey + 1}, {'kind': 'c', 'id': o_custkey}]) as u from orders where o_orderkey % 3 = 0), lateral (select u.kind as kind, u.id as id)""")
+select o_orderkey, kind, id from (select o_orderkey, unnest([{'kind': 'a', 'id': o_orderkey}, {'kind': 'a', 'id': o_orderkey + 1}, {'kind': 'c', 'id': o_custkey}]) as u from orders), lateral (select u.kind as kind, u.id as id)""")
 def q_keyed_lists(t):
-    o = t("orders").filter("o_orderkey % 3 = 0")
+    o = t("orders")
     j = F.to_json(F.struct(F.array(F.struct(F.col("o_custkey").alias("id"))).alias("c"), F.array(F.struct(F.col("o_orderkey").alias("id")), F.struct((F.col("o_orderkey") + 1).alias("id"))).alias("a")))
     return nested.candidates_or_failure(o.select("o_orderkey", j.alias("r")), "r", "struct<id:bigint>", "flat", ("a", "b", "c")).select("o_orderkey", "kind", F.col("item.id").alias("id"))
 
@@ -78,10 +78,10 @@ def q_labels(t):
 
 
 @query("""
-select doc_id, substring(regexp_replace(text, '((token|password)[ ]*[=:][ ]*)[^ ,;]+', '\\1[REDACTED]', 'g'), 1, 5000) as redacted from documents where regexp_matches(text, '(token|password)[ ]*[=:]')""")
+select doc_id, regexp_replace(text, '((token|password)[ ]*[=:][ ]*)[^ ,;]+', '\\1[REDACTED]', 'g') as redacted from documents where regexp_matches(text, '(token|password)[ ]*[=:]')""")
 def q_redact(t):
     d = t("documents").filter(F.col("text").rlike("(token|password)[ ]*[=:]"))
-    return d.select("doc_id", strings.redact(F.col("text"), patterns=("((?:token|password)[ ]*[=:][ ]*)[^ ,;]+",), limit=5000).alias("redacted"))
+    return d.select("doc_id", strings.redact(F.col("text"), patterns=("((?:token|password)[ ]*[=:][ ]*)[^ ,;]+",), limit=None).alias("redacted"))
 
 
 @query("""
@@ -128,41 +128,63 @@ def q_verbatim(t):
     b = b.filter(F.size(words(F.col("quote"))) >= 6).withColumn("k", F.array_join(F.slice(words(F.col("quote")), 2, 4), " "))
     d = t("documents").select("doc_id", "text", words(F.col("text")).alias("w"))
     at = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
-    pairs = at.join(F.broadcast(b.select("item_id", "k")), "k").select("doc_id", "item_id").distinct()  # passages: a fixed benchmark
+    pairs = at.join(b.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
     found = pairs.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "quote"), "item_id")
-    short = d.select("doc_id", "text").join(F.broadcast(few), clauses.is_verbatim(F.col("quote"), F.col("text")))
+    short = d.select("doc_id", "text").join(few, clauses.is_verbatim(F.col("quote"), F.col("text")))
     return found.filter(clauses.is_verbatim(F.col("quote"), F.col("text"))).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
 
 
-@query()
+@query("""
+with h as (select doc_id, term, k, text, list_filter(range(1, len(text) + 1), lambda i: substring(lower(text), i, len(term)) = term) as p from documents, (values ('token', 1), ('password', 2), ('licence', 3), ('license', 4)) v(term, k)),
+e as (select doc_id, term, k, text, unnest(p[1:3]) as s, unnest(range(1, len(p[1:3]) + 1)) as j from h), n as (select *, row_number() over (partition by doc_id order by k, j) as number from e)
+select doc_id, term, number::int as number, (s - 1)::int as start, substring(text, greatest(s - 200, 1), (s + len(term) + 200 - greatest(s - 200, 1))::int) as "window" from n where number <= 15
+union all select doc_id, null, null, null, 'NO MATCH' from documents where doc_id not in (select doc_id from e)""")
 def q_windows(t):
     return clauses.evidence_windows(t("documents").select("doc_id", "text"), "doc_id", "text", ["token", "password", "licence", "license"])
 
 
 @query("""
-select doc_id, longest as text, case when n > 1 then 'separator removed' else '' end as note from (select doc_id, len(w) as n, list_sort(list_transform(range(1, len(w) + 1), lambda i: {'n': -len(trim(w[i])), 'i': i, 'p': trim(w[i])}))[1].p as longest from (select doc_id, string_split(text, chr(10)) as w from documents where doc_id % 3 = 0))""")
+with c as (select doc_id, len(w) as n, list_sort(list_transform(range(1, len(w) + 1), lambda i: {'n': -len(trim(w[i])), 'i': i, 'p': trim(w[i])}))[1].p as cut from (select doc_id, string_split(text, chr(10)) as w from documents)),
+f as (select *, instr(cut, ' the ') as hit, trim(substring(cut, 1, greatest(instr(cut, ' the ') - 1, 0))) as l, trim(substring(cut, instr(cut, ' the ') + 5)) as r from c)
+select doc_id, case when hit = 0 then cut when len(l) >= len(r) then l else r end as text, case when n > 1 then 'separator removed' when hit > 0 then 'fragment removed' else '' end as note from f""")
 def q_leak_clean(t):
-    d = t("documents").filter("doc_id % 3 = 0").select("doc_id", clauses.clean_leak(F.col("text"), "\n", "\u0001+").alias("c"))
+    d = t("documents").select("doc_id", clauses.clean_leak(F.col("text"), "\n", " the ").alias("c"))
     return d.select("doc_id", "c.text", "c.note")
 
 
-@query("""
-select item_id, case when regexp_matches(e, 'cost of living') then 'irrelevant' when contains(e, 'wage') and contains(e, 'other communit') then 'relevant' else 'ambiguous' end as relevance
-from (select item_id, lower(case item_id % 4 when 0 then 'Wages in other communities: ' when 1 then 'Cost of living ' else '' end || left(regexp_replace(text, '[^ ]*(pay|rank|top|fy|art|peer|paid|level)[^ ]*', '', 'g'), 80)) as e from benchmark)""")
+def _any(terms) -> str:
+    return "(" + " or ".join("contains(e, '" + x.replace("'", "''") + "')" for x in terms) + ")"
+
+
+def _rule_sql(rule) -> str:
+    parts = [_any(g) for g in rule.get("all", ())] + ["regexp_matches(e, '" + p + "')" for p in rule.get("like", ())]
+    return "(" + " and ".join(parts + [f"not {_any(g)}" for g in [rule.get("none")] if g]) + ")"
+
+
+_OPENINGS = (
+    "Wages of comparable towns: ", "Cost-of-living: ", "FY 2019 a 3.5% raise ", "A market adjustment ", "IBEW local 7 ", "The chart on drug testing in each town ", "Longevity varies by community ", "Therefore the award ", "Salary above other employers ",
+    "Pay and longevity in peer communities are higher than here ", "",
+)
+
+
+@query("select id, case when " + " or ".join(map(_rule_sql, clauses.IRRELEVANT)) + " then 'irrelevant' when " + " or ".join(map(_rule_sql, clauses.RELEVANT)) + " then 'relevant' else 'ambiguous' end as relevance from (select id, lower(x) as e from (select 1000000 + item_id as id, list_extract(["
+       + ", ".join(f"'{x}'" for x in _OPENINGS) + "], (item_id % 11 + 1)::int) || text as x from benchmark union all select 2000000 + item_id, list_extract([" + ", ".join(f"'{x}'" for x in _OPENINGS) + "], (item_id % 11 + 1)::int) from benchmark union all select doc_id, text from documents))")
 def q_relevance(t):
-    start = F.when(F.col("item_id") % 4 == 0, "Wages in other communities: ").when(F.col("item_id") % 4 == 1, "Cost of living ").otherwise("")
-    cut = F.substring(F.regexp_replace("text", "[^ ]*(pay|rank|top|fy|art|peer|paid|level)[^ ]*", ""), 1, 80)
-    return t("benchmark").select("item_id", clauses.relevance(F.concat(start, cut)).alias("relevance"))
+    """Whole documents and passages, and openings of which each fires one rule."""
+    opening = F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("item_id") % 11 + 1).cast("int"))
+    b = t("benchmark")
+    rows = b.select((F.col("item_id") + 1000000).alias("id"), F.concat(opening, "text").alias("x")).unionByName(b.select((F.col("item_id") + 2000000).alias("id"), opening.alias("x")))
+    return rows.unionByName(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("x"))).select("id", clauses.relevance(F.col("x")).alias("relevance"))
 
 
 @query("""
 select lang, source, status, excerpt, skipped, seq, status = 'present' and c as verified from (select *, row_number() over (partition by lang, source order by o) - 1 as seq from (
-select lang, source, status, case when status = 'present' then left(text, 12) else '' end as excerpt, min(doc_id) as o, count(*) - 1 as skipped, bool_or(coalesce(quality, 0) = 1) as c
+select lang, source, status, case when status = 'present' then text else '' end as excerpt, min(doc_id) as o, count(*) - 1 as skipped, bool_or(coalesce(quality, 0) = 1) as c
 from (select *, case doc_id % 5 when 0 then 'not_found' when 1 then 'unclear' else 'present' end as status from documents left join labels using (doc_id)) group by 1, 2, 3, 4))""")
 def q_evidence_layer(t):
     k = F.col("doc_id") % 5
     d = matching.labels_of(t("documents").select("doc_id", "text", "lang", "source"), t("labels").select("doc_id", "quality"), "doc_id")
-    d = d.select("doc_id", "lang", "source", F.substring("text", 1, 12).alias("x"), F.when(k == 0, "not_found").when(k == 1, "odd").otherwise("present").alias("st"), F.lit("").alias("no"), (F.coalesce("quality", F.lit(0)) == 1).alias("ok"))
+    d = d.select("doc_id", "lang", "source", F.col("text").alias("x"), F.when(k == 0, "not_found").when(k == 1, "odd").otherwise("present").alias("st"), F.lit("").alias("no"), (F.coalesce("quality", F.lit(0)) == 1).alias("ok"))
     out = evidence.evidence_layer(d, "lang", "source", "st", "x", "no", "doc_id", F.col("ok"))
     return out.select("lang", "source", "status", "excerpt", F.col("skipped").cast("bigint").alias("skipped"), F.col("seq").cast("bigint").alias("seq"), "verified")
 
@@ -178,9 +200,9 @@ def q_forbidden_terms(t):
     return evidence.forbidden_terms(t("documents").select("doc_id", "text"), "doc_id", "text", ["licen", "token", "password", "worthless"])
 
 
-@query("select page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^\\s<>\"'')\\]]+'))) > 0 as has_urls from pages")
+@query("select distinct page_id, regexp_replace(u, '[.,;:!?]+$', '') as url from (select page_id, unnest(regexp_extract_all(html || ' see ' || url || '.', 'https?://[^\\s<>\"'')\\]]+')) as u from pages)")
 def q_urls(t):
-    return t("pages").select("page_id", (F.size(strings.urls_in(F.col("html"))) > 0).alias("has_urls"))
+    return t("pages").select("page_id", F.explode(strings.urls_in(F.concat("html", F.lit(" see "), "url", F.lit(".")))).alias("url"))
 
 
 @query("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as page from documents")
