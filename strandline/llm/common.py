@@ -1,63 +1,17 @@
-"""Shared pieces of the corpus operators: word rule, shared folder, written stages."""
+"""Shared pieces of the corpus operators: word rule, written stages."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import noted, release, reread, shared_dir, staged  # noqa: F401
+
 #: White space of the word rule (ASCII only) and a word, as Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, a local master falls back to /tmp/checkpoints and any other
-    master to the warehouse, which a cluster shares as well.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-
-
-def staged(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    A local session deletes its tables at exit; on a cluster they stay as long as that folder keeps files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    if spark.sparkContext.master.startswith("local[") and path.startswith(("/", "file:")):  # one process: nobody reads it later
-        atexit.register(shutil.rmtree, path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
-
-
-def reread(table: DataFrame) -> DataFrame:
-    """Another reader of a staged table, whose columns are told apart from the first one's in a self-join."""
-    return table.sparkSession.read.schema(table.schema).parquet(table._stage_path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
-    for t in tables:
-        path = getattr(t, "_stage_path", None)
-        if path:
-            sc = t.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null; JVM only."""
     parts = F.split(text, SPACE + "+", -1)
@@ -69,3 +23,20 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The ``documents`` table, with the named columns only."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
+
+
+def bit_filter(hashes: DataFrame, bits: int = 23) -> DataFrame:
+    """(_w, _b): 64 bits a row of a filter of 2^bits, in which the bit of each value of the column ``hash`` is set.
+
+    At most 2^(bits - 6) rows for any number of hashes, so it may be broadcast.
+    """
+    at = hashes.select(F.pmod(F.col("hash"), F.lit(1 << bits)).alias("_at"))
+    return at.groupBy(F.shiftright("_at", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_b"))
+
+
+def with_pass(df: DataFrame, hash_: Column, filter_: DataFrame, bits: int = 23) -> DataFrame:
+    """Adds _pass: false only where ``hash_`` is not among the hashes of bit_filter()."""
+    at = F.pmod(hash_, F.lit(1 << bits))
+    d = df.withColumn("_at", at)
+    d = d.join(F.broadcast(filter_), F.shiftright("_at", 6) == F.col("_w"), "left")
+    return d.withColumn("_pass", F.coalesce(F.expr("(shiftright(_b, cast(_at & 63 as int)) & 1) = 1"), F.lit(False))).drop("_at", "_w", "_b")

@@ -115,11 +115,9 @@ def _send(batches, bits: int, part: int) -> Iterator[pa.RecordBatch]:
         keep = ~shared | new
         t, ids_ = t[keep], np.where(shared, _MARK, own[at])[keep]
         g = g[keep]
-        edges = np.searchsorted(t >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(edges)):
-            s = slice(edges[b], edges[b + 1])
-            lone = part == FIRST  # there, every set is a group of its own
-            for column, v in zip(rows, (int(b), t[s].tobytes(), _pack(ids_[s]), b"" if lone else g[s].tobytes()), strict=True):
+        lone = part == FIRST  # there, every set is a group of its own
+        for b, s in _buckets(t, bits):
+            for column, v in zip(rows, (b, t[s].tobytes(), _pack(ids_[s]), b"" if lone else g[s].tobytes()), strict=True):
                 column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _SENT_ARROW.types, strict=True)], schema=_SENT_ARROW)
 
@@ -142,6 +140,19 @@ def _send(batches, bits: int, part: int) -> Iterator[pa.RecordBatch]:
 FIRST, SECOND = 16, 4  # parts of the two prefix filters
 
 
+def _buckets(t: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets (the leading ``bits``) of sorted tokens, with the place of each."""
+    b = (t >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(b[lo]), slice(lo, hi)
+
+
+def _bucket_bits(bytes_: int, of_bucket: int, least: int) -> int:
+    """So many leading bits that a bucket holds about ``of_bucket`` bytes at any size (31 would be petabytes)."""
+    return min(31, max(least, (bytes_ // of_bucket).bit_length()))
+
+
 def _pack(ids: np.ndarray) -> bytes:
     """Row numbers as a base and 32-bit steps where they fit, the mark as all ones."""
     real = ids[ids != _MARK]
@@ -181,7 +192,7 @@ def _credit(table: pa.Table) -> pa.Table:
 
 def _shared_counts(rows: DataFrame, part: int, tokens: int) -> DataFrame:
     """(i, c): how many prefix tokens of set i occur in other groups too. rows: i, g, tokens (the prefix); some 250,000 tokens a bucket."""
-    bits = min(16, max(8, (tokens // 250_000).bit_length()))
+    bits = _bucket_bits(8 * tokens, 2_000_000, 8)
     sent = rows.select("i", "g", "tokens").mapInArrow(lambda b: _send(b, bits, part), _SENT)
     return sent.groupBy("bucket").applyInArrow(_credit, "i long, c long").groupBy("i").agg(F.sum("c").alias("c"))
 
@@ -253,11 +264,9 @@ def _deal(tokens: list[np.ndarray], own: list[np.ndarray], bits: int, names: lis
     t = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
     order = np.argsort(t, kind="stable")
     t, at = t[order], at[order]
-    edges = np.searchsorted(t >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    full = np.flatnonzero(np.diff(edges))
-    cut = [slice(edges[b], edges[b + 1]) for b in full]
+    full, cut = zip(*_buckets(t, bits), strict=True) if len(t) else ((), ())
     columns = [pa.array([t[s].tobytes() for s in cut], pa.binary())] + [pa.array([x[at[s]].tobytes() for s in cut], pa.binary()) for x in own]
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *columns], names=["bucket", "tokens", *names])
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], names=["bucket", "tokens", *names])
 
 
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -300,33 +309,73 @@ def _rarest(batches, bits: int) -> Iterator[pa.RecordBatch]:
         yield _deal(kept, _numbers(batch, "r", "c", "g"), bits, ["ids", "classes", "grps"])
 
 
+_PAIRS = "q long, g long, qs binary, own binary, gs binary"
+_BLOCK = 512
+
+
+def _asking(own: np.ndarray, q: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """(q, g) of sets q in groups ``own`` and of ``groups`` of the same or a higher number."""
+    i, j = np.nonzero(own[:, None] <= groups[None, :])
+    return np.stack([q[i], groups[j]], 1)
+
+
 def _candidates(table: pa.Table) -> pa.Table:
-    """Of one bucket of tokens: (q, g) if set q shares a prefix token with a set of group g, of its own group number or a higher one, in another class."""
+    """Of one bucket of tokens: (q, g) if set q shares a prefix token with a set of group g, of its own group number or a higher one, in another class.
+
+    A token of many sets in many groups gives blocks of sets and groups, to be paired elsewhere.
+    """
     t, r, c, g = _joined(table, tokens=np.uint64, ids=np.int64, classes=np.int64, grps=np.int64)
     order = np.lexsort((g, t))
     t, r, c, g = t[order], r[order], c[order], g[order]
     edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-    seen, qs, gs = set(), [], []
+    seen, found, blocks = set(), [np.zeros((0, 2), dtype=np.int64)], []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if hi - lo < 2 or (c[lo:hi] == c[lo]).all() or (key := r[lo:hi].tobytes()) in seen:
             continue
         seen.add(key)
         groups = np.unique(g[lo:hi])
-        i, j = np.nonzero(g[lo:hi][:, None] <= groups[None, :])
-        qs.append(r[lo:hi][i])
-        gs.append(groups[j])
-        if len(qs) > 2000:
-            qs, gs = ([x] for x in np.unique(np.stack([np.concatenate(qs), np.concatenate(gs)], 1), axis=0).T)
-    pairs = np.unique(np.stack([np.concatenate(qs), np.concatenate(gs)], 1), axis=0) if qs else np.zeros((0, 2), dtype=np.int64)
-    return pa.table({"q": pairs[:, 0], "g": pairs[:, 1]})
+        if (hi - lo) * len(groups) <= _BLOCK * _BLOCK:
+            found.append(_asking(g[lo:hi], r[lo:hi], groups))
+        else:
+            blocks += [(r[i : min(i + _BLOCK, hi)].tobytes(), g[i : min(i + _BLOCK, hi)].tobytes(), groups[j : j + _BLOCK].tobytes()) for i in range(lo, hi, _BLOCK) for j in range(0, len(groups), _BLOCK) if groups[j : j + _BLOCK][-1] >= g[i]]
+        if len(found) > 2000:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    pairs = np.unique(np.concatenate(found), axis=0)
+    none, n = [None] * len(pairs), [None] * len(blocks)
+    return pa.table({"q": pa.array(pairs[:, 0].tolist() + n, pa.int64()), "g": pa.array(pairs[:, 1].tolist() + n, pa.int64())} | {k: pa.array(none + [x[i] for x in blocks], pa.binary()) for i, k in enumerate(("qs", "own", "gs"))})
+
+
+def _paired(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            q, own, g = (np.frombuffer(row[k], dtype=np.int64) for k in ("qs", "own", "gs"))
+            pairs = np.unique(_asking(own, q, g), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["q", "g"])
 
 
-def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
-    """Links between classes, found by holding the sets of one group against an opened one.
+def _union(group: pa.Table) -> pa.Table:
+    """The union of a group's sets: one column of the token-group matrix."""
+    tokens = np.unique(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("tokens")]))
+    return pa.table({"g": group.column("g")[:1], "tokens": pa.array([tokens.tobytes()], pa.binary())})
 
-    A query is compared only if its overlap with the union of the group reaches what it needs with
-    any partner; its overlaps with all sets of the group then come from the group's token lists.
-    """
+
+def _bound(queries: pa.Table, unions: pa.Table) -> pa.Table:
+    """Sets whose overlap with a group's union reaches what they need with any partner."""
+    keep = []
+    if queries.num_rows and unions.num_rows:
+        t = np.frombuffer(unions.column("tokens")[0].as_py(), dtype=np.uint64)
+        for i, blob in enumerate(queries.column("tokens")):
+            q = np.frombuffer(blob.as_py(), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(t, q), len(t) - 1)
+            if np.count_nonzero(t[at] == q) >= overlap_needed(len(q)):
+                keep.append(i)
+    return queries.select(["q", "g"]).take(pa.array(keep, pa.int64()))
+
+
+def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
+    """Links between classes, found by holding the sets of one group against an opened one: overlaps with all its sets at once, from its token lists."""
+    if not queries.num_rows or not group.num_rows:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
     sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("tokens")]
     size, cls = np.array([len(x) for x in sets]), group.column("c").to_numpy()
     t = np.concatenate(sets)
@@ -337,8 +386,6 @@ def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
         q = np.frombuffer(blob.as_py(), dtype=np.uint64)
         lo, hi = np.searchsorted(t, q, side="left"), np.searchsorted(t, q, side="right")
         n = hi - lo
-        if np.count_nonzero(n) < overlap_needed(len(q)):
-            continue
         ends = np.cumsum(n)
         members = who[np.repeat(lo - ends + n, n) + np.arange(ends[-1])]
         both = np.bincount(members, minlength=len(sets))
@@ -348,6 +395,16 @@ def _open(queries: pa.Table, group: pa.Table) -> pa.Table:
     return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
+def _meet(asking: DataFrame, sets: DataFrame, held: DataFrame, of_share: int, run, schema: str) -> DataFrame:
+    """``run`` on the sets that ask a group (q, g) and what is held of it, in shares of a bounded number of askers, each with all that is held."""
+    shares = staged(asking.groupBy("g").agg(F.ceil(F.count("*") / of_share).alias("shares")), "join-shares")
+    share = F.pmod(F.xxhash64("q"), F.col("shares")).cast("long").alias("share")
+    left = asking.join(shares, "g").select("g", share, "q").join(reread(sets).select(F.col("r").alias("q"), "c", "tokens"), "q").select("g", "share", "q", "c", "tokens")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("share")
+    right = held.join(reread(shares), "g").select("g", each, *[c for c in held.columns if c != "g"])
+    return left.groupBy("g", "share").cogroup(right.groupBy("g", "share")).applyInArrow(run, schema)
+
+
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", group_size: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest key reachable by links, its own included), text_hash and lead of every row.
 
@@ -369,8 +426,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     4. What goes on is put in groups of about ``group_size`` sets with one leading set, so of
        similar texts. Tokens are ordered by the number of classes that hold them; of each set only
        the rarest, one of which a partner must share, enter the token-group matrix, which says
-       what groups a set opens. There the union of the group bounds the overlap of the set, and
-       only if the bound reaches what it needs is it compared, with the whole group at once.
+       what groups a set asks. The union of each group's sets is stored; a set's overlap with it
+       bounds its overlap with any member. Only where the bound reaches what the set needs is
+       the group opened, and the set compared with the whole group at once.
     Links of 2 and 4 are contracted to components. No link is missed (up to collisions of 64-bit
     hashes), no pair within a class is emitted, links between classes are emitted once a pair of
     classes, and each step's state is written in between.
@@ -383,6 +441,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     counts = _shared_counts(some.withColumn("g", F.col("i")), FIRST, total // 8)
     need = lambda part: F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / part))
     kept = staged(some.select("i", "doc_id", "text_hash", "n", "sh").join(counts, "i").filter(F.col("c") >= need(FIRST)).select("doc_id", "text_hash", "sh"), "join-kept")
+    narrow = staged(docs.select("doc_id", "text_hash", "n", "sh"), "join-rows")
+    release(docs)
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _FILTER_BITS)).alias("at")
     wanted = _bit_filter(kept.select(at("doc_id")))
     full = src.select(at("doc_id"), "text").mapInArrow(lambda b: _full_sets(b, wanted), "sh binary, n long, tokens binary, keys array<long>")
@@ -396,6 +456,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     wanted_sets = _bit_filter(alike.select(at("r")))
     some_sets = sets.select(at("r"), "r", "n", "tokens", "keys").mapInArrow(lambda b: _filtered(b, wanted_sets), "r long, n long, tokens binary, keys array<long>")
     some_sets = staged(some_sets, "join-some-sets")
+    slim = staged(sets.select("r", "sh"), "join-set-ids")
+    release(sets)
 
     # The set with the largest share of common tokens leads its bucket: copies of one text link to that text, not always to each other.
     keys = some_sets.select("r", F.explode("keys").alias("k")).join(alike, "r")
@@ -421,24 +483,24 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     parts = staged(on.groupBy("lead").agg(F.ceil(F.count("*") / group_size).alias("parts")), "join-parts")
     on = staged(on.join(parts, "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("r"), F.col("parts")))).select("r", "c", "g", "tokens"), "join-groups")
     total = on.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    bits = min(16, max(3, (total // 2_000_000).bit_length()))
+    bits = _bucket_bits(total, 2_000_000, 3)
     counted = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, ids binary, classes binary").groupBy("bucket").applyInArrow(_frequencies, "r long, t binary, f binary")
     parts = counted.groupBy("r").agg(F.collect_list(F.struct("t", "f")).alias("parts")).join(reread(on).select("r", "c", "g"), "r")  # a row for each set
     matrix = parts.mapInArrow(lambda b: _rarest(b, bits), "bucket int, tokens binary, ids binary, classes binary, grps binary")
-    opened = staged(matrix.groupBy("bucket").applyInArrow(_candidates, "q long, g long").distinct(), "join-opened")
-    # Sets that ask one group come in shares of bounded size, each with the group's sets.
-    asked = staged(opened.groupBy("g").agg(F.ceil(F.count("*") / (16 * group_size)).alias("shares")), "join-asked")
-    share = F.pmod(F.xxhash64("q"), F.col("shares")).cast("long").alias("share")
-    queries = opened.join(asked, "g").select("g", share, "q").join(reread(on).select(F.col("r").alias("q"), "c", "tokens"), "q").select("g", "share", "c", "tokens")
-    groups = on.select("g", "c", "tokens").join(reread(asked), "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("share"), "c", "tokens")
-    far = staged(queries.groupBy("g", "share").cogroup(groups.groupBy("g", "share")).applyInArrow(_open, "u long, v long"), "join-far")
+    asked = staged(matrix.groupBy("bucket").applyInArrow(_candidates, _PAIRS), "join-asked")
+    blocks = asked.filter("q is null").select("qs", "own", "gs").repartition(F.xxhash64("qs", "gs")).mapInArrow(_paired, "q long, g long")
+    asking = staged(asked.filter("q is not null").select("q", "g").unionByName(blocks).distinct(), "join-asking")
+    unions = staged(on.select("g", "tokens").groupBy("g").applyInArrow(_union, "g long, tokens binary"), "join-unions")
+    opened = staged(_meet(asking, on, unions, 4 * group_size, _bound, "q long, g long"), "join-opened")
+    far = staged(_meet(opened, on, on.select("g", "c", "tokens"), 4 * group_size, _open, "u long, v long"), "join-far")
+    release(on, asked, asking, unions, opened, some_sets)
     final = connected_components(near.union(far))
 
-    label = sets.select("r", "sh").join(final, sets["r"] == final["node"], "left").select("sh", F.coalesce("component", "r").alias("label"))
+    label = slim.join(final, slim["r"] == final["node"], "left").select("sh", F.coalesce("component", "r").alias("label"))
     label = staged(label, "join-labels")
     with_label = kept.join(label, "sh")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     least = staged(with_label.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("lead")), "join-least")
     of_set = staged(label.join(least, "label").select("sh", "component_id", F.struct("lead.doc_id", "lead.text_hash").alias("lead")), "join-of-set")
-    out = docs.select("doc_id", "text_hash", "n", "sh").join(of_set, "sh", "left")
+    out = narrow.join(of_set, "sh", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "lead")
