@@ -34,8 +34,9 @@ def _hits(text: Column, kind: int) -> Column:
 
 def scan_secrets(
     df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row per row of ``df``: _key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, found.
+    """A row per row of ``df``: the columns ``carry``, _key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, found.
 
     Base kinds are the first three of KINDS: all leftmost non-overlapping matches, those with a
     short secret dropped. Generic candidates are runs of 20 characters or more with a digit, an
@@ -49,18 +50,23 @@ def scan_secrets(
     each (their copies share an owner). Clashing column names do not matter: only the named
     columns are read. Hashes are pre-aggregated on (hash, owner, repository) before each
     exchange, so a secret that a third of the rows hold never meets in one task; the join back
-    has an exchange of its own on both sides, which adaptive execution splits.
+    has an exchange of its own on both sides, which adaptive execution splits. Rows are written
+    once with what is carried, and only those with a candidate are shuffled. Texts of any length
+    are scanned whole; equal secrets are one secret; an empty table gives an empty result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     seen = staged(
         df.select(
-            F.monotonically_increasing_id().alias("_i"), F.col(key).alias("_key"), F.col(owner).alias("_owner"),
+            F.monotonically_increasing_id().alias("_i"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col(key).alias("_key"), F.col(owner).alias("_owner"),
             F.to_json(F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(repository)])).alias("_repo"),
             F.concat(*[_hits(t, k) for k in range(len(KINDS))]).alias("_hits"),
         ),
         "secrets-hits",
     )
-    each = seen.filter(F.size("_hits") > 0).select("_i", "_owner", "_repo", F.explode("_hits").alias("h")).select("_i", "_owner", "_repo", "h.*")
+    shown = [F.col("_row")[c].alias(c) for c in carry]
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+    marked = F.exists("_hits", lambda x: x["value"].isNotNull() & ((x["kind"] < N_BASE) | mixed(x["value"])))
+    each = seen.filter(marked).select("_i", "_owner", "_repo", F.explode("_hits").alias("h")).select("_i", "_owner", "_repo", "h.*")
     upto = Window.partitionBy("_i", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len")).filter(F.col("value").isNotNull())
     base = F.col("kind") < N_BASE
@@ -68,9 +74,8 @@ def scan_secrets(
     reach = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     near = F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
     clear = (F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.coalesce(near, F.col("end")) >= F.col("end"))
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]")
     spans = staged(
-        placed.withColumn("_clear", clear).filter(base | (F.col("_clear") & mixed))
+        placed.withColumn("_clear", clear).filter(base | (F.col("_clear") & mixed(F.col("value"))))
         .select("_i", "_owner", "_repo", "kind", "start", "end", F.sha2("value", 256).alias("hash")),
         "secrets-spans",
     )
@@ -87,14 +92,14 @@ def scan_secrets(
     of_doc = judged.groupBy("_i").agg(F.array_sort(F.collect_list("s")).alias("found"))
     count = lambda test: F.size(F.filter(F.col("found"), test)).cast("long")
     of_kind = lambda k: lambda s: s["kind"] == k
-    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
     none = F.lit(None).cast("array<struct<start:bigint,kind:int,name:string,end:bigint,hash:string,owners:bigint,repositories:bigint,copies:bigint,verdict:string>>")
-    rows = seen.filter(F.size("_hits") == 0).select("_key", none.alias("found")).unionByName(
-        seen.filter(F.size("_hits") > 0).select("_i", "_key").join(of_doc, "_i", "left").select("_key", "found"))
+    rows = seen.filter(~marked).select(*shown, "_key", none.alias("found")).unionByName(
+        seen.filter(marked).select("_i", *shown, "_key").join(of_doc, "_i", "left").select(*carry, "_key", "found"))
     rows = rows.withColumn("found", F.coalesce("found", F.array().cast(rows.schema["found"].dataType)))
     return rows.select(
-        "_key", *[count(of_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(N_BASE)],
-        F.sha2(shown(F.filter("found", lambda s: s["kind"] < N_BASE)), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"),
+        *carry, "_key", *[count(of_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(N_BASE)],
+        F.sha2(told(F.filter("found", lambda s: s["kind"] < N_BASE)), 256).alias("base_sha256"), told(F.col("found")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "copied").alias("n_copied"), "found",
     )
 
