@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +20,22 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens",
 _OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
 
+#: White space of the tokenizer's pre-tokenization (fixed values).
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 class ByteBpe:
-    """Ids of a byte-level BPE tokenizer file, a cached word at a time.
+    """Ids of a byte-level BPE tokenizer file, a batch of texts at a time.
 
     A single space between two characters that are not white space always starts a token of its
     own in the tokenizer's pre-tokenization, so a text may be cut before it, and equal words have
-    equal ids. Other texts go to the tokenizer whole.
+    equal ids: the words of a batch are looked up once each and their ids gathered. Texts with
+    other white space next to a space go to the tokenizer whole.
     """
 
-    _ODD = re.compile(r"\s |  | \s")
+    _ODD = f"[{_WHITE}] | [{_WHITE}]"
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str):
         import json
 
         import tiktoken
@@ -46,28 +52,60 @@ class ByteBpe:
         self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = max(vocab.values()) + 1
         self.wide = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
-        self.keep = keep
-
-    def _pack(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype=self.wide).tobytes()
+        self.bytes = np.zeros(self.size, dtype=np.int64)
+        for piece, i in ranks.items():
+            self.bytes[i] = len(piece)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each on its own, one after the other, and how many each has."""
+        each = [np.array(self.encode(t), dtype=self.wide) for t in texts]
+        return np.concatenate([np.zeros(0, dtype=self.wide), *each]), np.array([len(x) for x in each], dtype=np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space, one after the other, and how many each has: all in one call, told apart by their bytes."""
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = np.array(self.encode(" " + " ".join(words.to_pylist())) if len(words) else [], dtype=self.wide)
+        upto = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size + 1), side="left") + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none null) one after the other, each with ``end`` behind, and how many each has."""
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, self._ODD).to_numpy(zero_copy_only=False).astype(bool)
+        parts = pc.split_pattern(texts, " ")
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.flatten().dictionary_encode()
+        code, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+        n_parts, lead = np.diff(starts), starts[:-1] - starts[0]
+        row = np.repeat(np.arange(n), n_parts)
+        inner = ~odd[row]
+        inner[lead] = False
+        # The pool: the batch's distinct words after a space, a space alone, first words and odd texts, the end.
+        used = np.zeros(len(names), dtype=bool)
+        used[code[inner]] = True
+        blank = pc.equal(names, "").to_numpy(zero_copy_only=False)
+        used[blank] = False
+        ids, size = self._words(names.filter(pa.array(used)))
+        firsts = names.take(pa.array(code[lead])).to_pylist()
+        own, own_size = self._whole([" ", *[texts[i].as_py() if o else firsts[i] for i, o in enumerate(odd.tolist())]])
+        pool = np.concatenate([ids, own, np.array([end], dtype=self.wide)])
+        size = np.concatenate([size, own_size, [1]])
+        at_word = np.cumsum(used) - 1
+        at_word[blank] = len(size) - n - 2
+        code = at_word[code]
+        code[lead] = np.arange(n) + len(size) - n - 1
+        keep = inner
+        keep[lead] = True
+        row, code = row[keep], code[keep]
+        code = np.insert(code, np.searchsorted(row, np.arange(n), side="right"), len(size) - 1)
+        row = np.sort(np.r_[row, np.arange(n)], kind="stable")
+        each = size[code]
+        ends = np.cumsum(each)
+        flat = pool[np.repeat((np.cumsum(size) - size)[code] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, np.bincount(row, weights=each, minlength=n).astype(np.int64)
 
     def ids(self, text: str) -> np.ndarray:
-        if self._ODD.search(text):
-            return np.array(self.encode(text), dtype=self.wide)
-        cache, parts = self.cache, text.split(" ")
-        if len(cache) > self.keep:
-            cache.clear()
-        out = [self._pack(parts[0])]
-        add = out.append
-        for p in parts[1:]:
-            x = cache.get(p)
-            if x is None:
-                x = self._pack(" " + p)
-                if len(p) < 64:
-                    cache[p] = x
-            add(x)
-        return np.frombuffer(b"".join(out), dtype=self.wide)
+        return self.batch(pa.array([text], pa.string()), 0)[0][:-1]
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -145,20 +183,18 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path, end_id, width, dims, bits
     basis = np.linalg.qr(rng.standard_normal((width, dims)))[0]
     bucket = rng.integers(0, width, max(bpe.size, end_id + 1))
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    last = np.array([end_id], dtype=bpe.wide)
     for batch in batches:
-        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        keys, texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+        room = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < len(keys):  # a bounded share of a batch at a time
-            held, n, hi = [], 0, lo
-            while hi < len(keys) and n < 4_000_000:
-                held.append(np.concatenate([bpe.ids(texts[hi].as_py() or ""), last]))
-                n += len(held[-1])
-                hi += 1
-            sizes = np.array([len(x) for x in held])
-            curve = _curve_keys(np.concatenate(held), sizes, width, bucket, basis, bits)
+            hi = max(lo + 1, int(np.searchsorted(room, (room[lo - 1] if lo else 0) + 16_000_000, side="right")))
+            flat, sizes = bpe.batch(texts.slice(lo, hi - lo), end_id)
+            curve = _curve_keys(flat, sizes, width, bucket, basis, bits)
             rows = ([], [], [], [], [], [])
-            for i, x in enumerate(held):
+            ends = np.cumsum(sizes)
+            for i in range(hi - lo):
+                x = flat[ends[i] - sizes[i] : ends[i]]
                 for s in range(0, len(x), chunk):
                     raw = x[s : s + chunk].tobytes()
                     for column, v in zip(rows, (keys[lo + i], s, len(x), int(curve[i]), zlib.crc32(raw), squeeze(raw)), strict=True):
