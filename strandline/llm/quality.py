@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import release, staged
 
 #: Transformed statistics and the least standard deviation that each is given.
 FEATURES = {
@@ -80,103 +79,137 @@ def chi_square_quantile(p: float, k: int) -> float:
     return high
 
 
-def _whitened() -> list[Column]:
-    """Coordinates by center c* and Cholesky factor l** (forward substitution, unrolled); their squares sum to the distance."""
-    z: list[Column] = []
-    for i in range(_D):
-        r = F.col(f"x{i}") - F.col(f"c{i}")
-        for j in range(i):
-            r = r - F.col(f"l{i}{j}") * F.col(f"z{j}")
-        z.append(r / F.col(f"l{i}{i}"))
-    return z
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """Adds _d2, the squared distance from center c* by Cholesky factor l** (forward substitution), and its bin."""
+    z = [f"(x{i} - c{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i)) + f") / l{i}{i} as z{i}" for i in range(_D)]
+    d2 = " + ".join(f"z{i} * z{i}" for i in range(_D))
+    return rows.selectExpr("*", *z, f"{d2} as _d2", "floor(ln(_d2 + 1e-9D) * 32) as _bin")
 
 
-def _with_distance(rows: DataFrame) -> DataFrame:
-    for i, z in enumerate(_whitened()):
-        rows = rows.withColumn(f"z{i}", z)
-    return rows.withColumn("_d2", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(_D)])).withColumn("_bin", F.floor(F.log(F.col("_d2") + 1e-9) * 32))
+#: The group of all rows, whose estimate stands behind those of small groups; no key looks like it.
+_ALL = "*"
+_PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
+_MODEL = [f"c{i}" for i in range(_D)] + [f"s{i}{j}" for i, j in _PAIRS]
+
 
+def _moments(rows: DataFrame, weight: str, scale: float, *by: str) -> DataFrame:
+    """Weighted centers c* and covariances s** (times ``scale``) of the vectors x* of each group."""
+    sums = rows.withColumn("_w", F.expr(weight)).groupBy(*by).agg(
+        F.sum("_w").alias("w"), *[F.expr(f"sum(_w * x{i}) as m{i}") for i in range(_D)], *[F.expr(f"sum(_w * x{i} * x{j}) as m{i}{j}") for i, j in _PAIRS]
+    ).filter("w > 0")
+    cov = {(i, j): f"{scale}D * (m{i}{j} / w - c{i} * c{j})" for i, j in _PAIRS}
+    cov = [f"{f'greatest({v}, 0D)' if i == j else v} as s{i}{j}" for (i, j), v in cov.items()]
+    return sums.selectExpr(*by, "w", *[f"m{i}{j}" for i, j in _PAIRS], *[f"m{i} / w as c{i}" for i in range(_D)], *cov).select(*by, *_MODEL)
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Centers and Cholesky factors of the groups' covariances, each with its floor on the diagonal."""
-    out = moments
+
+def _factor(model: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor l** of the covariance, each variance with its floor, and logdet."""
     floors = [f for _, f in FEATURES.values()]
-    for i in range(_D):
-        out = out.withColumn(f"c{i}", F.col(f"m{i}") / F.col("m"))
-    for i in range(_D):
-        for j in range(i + 1):
-            a = F.col(f"m{i}{j}") / F.col("m") - F.col(f"c{i}") * F.col(f"c{j}")
-            a = F.greatest(a, F.lit(0.0)) * F.col("_scale") + floors[i] ** 2 if i == j else a * F.col("_scale")
-            for k in range(j):
-                a = a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(a, F.lit(floors[i] ** 2 / 4))) if i == j else a / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"c{i}" for i in range(_D)], *[f"l{i}{j}" for i in range(_D) for j in range(i + 1)])
+    factor = []
+    for i, j in _PAIRS:
+        a = f"s{i}{j}" + f" + {floors[i] ** 2}D" * (i == j) + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        factor.append((f"sqrt(greatest({a}, {floors[i] ** 2 / 4}D))" if i == j else f"({a}) / l{j}{j}") + f" as l{i}{j}")
+    return model.selectExpr("*", *factor, " + ".join(f"2 * ln(l{i}{i})" for i in range(_D)) + " as logdet")
+
+
+def _starts(ok: DataFrame) -> DataFrame:
+    """Five first estimates a group, by start: medians and quartile spreads; moments under weights
+    that fall with the standardised distance, and under unit directions; two random eighths."""
+    bins = ok.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(f"x{i}") / _BIN).cast("long").alias("b")) for i in range(_D)])).alias("e"))
+    bins = bins.groupBy("g", "e.f", "e.b").count()
+    gf = Window.partitionBy("g", "f")
+    bins = bins.withColumn("upto", F.sum("count").over(gf.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("count").over(gf))
+    quart = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("b"))) * _BIN
+    each = bins.groupBy("g", "f").agg(quart(0.5).alias("c"), ((quart(0.75) - quart(0.25)) / 1.349).alias("s"), F.max("all").alias("n"))
+    first = each.groupBy("g").agg(
+        F.max("n").alias("n"), *[F.expr(f"max(case when f = {i} then c end) as c{i}") for i in range(_D)],
+        *[F.expr(f"max(case when f = {i} then s * s end) as s{i}{j}" if i == j else f"0D as s{i}{j}") for i, j in _PAIRS],
+    )
+    first = staged(_factor(first), "quality-first")
+    z2 = F.col("_d2")
+    ways = F.array(
+        F.struct(F.lit(1).alias("start"), F.pow(1 + z2 / _D, F.lit(-2.0)).alias("weight")),
+        F.struct(F.lit(2).alias("start"), (1 / F.sqrt(F.greatest(z2, F.lit(0.01)))).alias("weight")),
+        F.struct((F.col("_eighth") + 3).cast("int").alias("start"), (F.col("_eighth") < 2).cast("double").alias("weight")),
+    )
+    eighth = F.pmod(F.xxhash64(*FEATURES), F.lit(8)).alias("_eighth")
+    near = _with_distance(ok.select("g", *FEATURES, eighth).join(first.drop("n", "logdet"), "g"))
+    near = near.select("g", *FEATURES, F.explode(ways).alias("e")).select("g", *FEATURES, "e.start", "e.weight").filter("weight > 0")
+    more = _moments(near, "weight", 1.0, "g", "start").join(first.select("g", "n"), "g")
+    return first.select("g", F.lit(0).alias("start"), "n", *_MODEL).unionByName(more)
+
+
+def _least(model: DataFrame) -> DataFrame:
+    """Of each group the estimate with the least determinant, the earlier start's among equals."""
+    rest = [c for c in model.columns if c not in ("g", "logdet", "start")]
+    return model.groupBy("g").agg(F.min(F.struct("logdet", "start", *rest)).alias("b")).select("g", *[f"b.{c}" for c in ("logdet", "start", *rest)]).select(*model.columns)
 
 
 def robust_outliers(
-    df: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text: str = "text", h: float = 0.75, steps: int = 3,
-    tail: float = 1e-6, slack: float = 1.5, least_rows: int = 50, carry: tuple[str, ...] | None = None,
+    df: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text: str = "text", h: float = 0.75, steps: int = 12,
+    tail: float = 1e-10, prior: float = 50.0, carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Columns ``carry`` (all but the text if None), text_hash, the statistics, base_failed, distance2 and kept.
 
     Rows that pass the base rules give the vectors of FEATURES. In each group of ``groups`` the
-    minimum covariance determinant is sought by concentration steps: from medians and quartile
-    spreads, ``steps`` times, the share ``h`` of rows nearest by Mahalanobis distance gives the
-    next center and covariance (scaled for consistency, a floor on its diagonal). A row is kept
-    if it passes the base rules and its squared distance is at most ``slack`` times the
-    chi-square quantile at 1 - ``tail``. Groups under ``least_rows`` such rows are pooled; a pool
-    under that keeps all. Quantiles come from fixed bins, so they need counts only, and every
-    figure covers all rows.
-
-    Null groups are groups, null texts are empty (and fail), repeated rows count each, an empty
-    table gives an empty result. Per-group sums are partial sums before any exchange, so a group
-    with a third of the rows costs no more than another.
+    minimum covariance determinant is sought from the five starts of _starts() by concentration
+    steps: the share ``h`` of rows nearest by Mahalanobis distance gives the next center and
+    covariance (scaled for consistency, with a floor on its diagonal). After two steps the start
+    with the least determinant goes on, until no determinant falls by a hundredth (``steps`` steps
+    at most). All rows
+    together are a group as well, and its estimate counts as ``prior`` rows in that of each group,
+    so a small group is judged mostly as a part of the whole and a large one by itself, at every
+    size by one formula. A row is kept if it passes the base rules and its squared distance is at
+    most the chi-square quantile at 1 - ``tail`` (text statistics have heavier tails than a normal
+    law). Quantiles come from fixed bins, so they need counts only, and every figure covers all
+    rows; equal determinants fall to the earlier start.
+
+    Null groups are groups, null and empty texts fail, texts of any length are read whole,
+    repeated rows count each and share their verdict, an empty table gives an empty result,
+    columns of the result's names are replaced. Per-group sums are partial sums before any
+    exchange, so a group with a third of the rows costs no more than another. The rows are
+    written once with what is carried, and are not shuffled.
     """
     new = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept", "text_hash"}
     rest = [c for c in (carry or [c for c in df.columns if c != text]) if c not in new]
     src = df.select(
         F.struct(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(text)).alias("text_hash")).alias("_row"),
-        F.to_json(F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)])).alias("_g0"), F.col(text).alias("_text"),
+        F.to_json(F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)])).alias("g"), F.col(text).alias("_text"),
     )
-    stats = text_statistics(src, "_text").drop("_text").withColumn("base_failed", base_failed())
-    stats = staged(stats.withColumns({k: F.expr(e) for k, (e, _) in FEATURES.items()}), "quality-stats")
+    rows = text_statistics(src, "_text").drop("_text").withColumn("base_failed", base_failed())
+    rows = staged(rows.withColumns({k: F.expr(e) for k, (e, _) in FEATURES.items()}), "quality-rows")
     fit = ~F.col("base_failed")
-    sizes = staged(stats.filter(fit).groupBy("_g0").agg(F.count("*").alias("_n0")), "quality-sizes")
-    rows = stats.join(sizes, "_g0", "left").withColumn("g", F.when(F.col("_n0") >= least_rows, F.col("_g0")).otherwise("pool")).drop("_g0", "_n0")
-    rows = staged(rows, "quality-rows")
-    ok = rows.filter(fit).select("g", *FEATURES)
-    bins = ok.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(f"x{i}") / _BIN).cast("long").alias("b")) for i in range(_D)])).alias("e"))
-    bins = bins.groupBy("g", "e.f", "e.b").count()
-    gf = Window.partitionBy("g", "f")
-    bins = bins.withColumn("upto", F.sum("count").over(gf.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("count").over(gf))
-    quart = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("b"))) * _BIN
-    start = bins.groupBy("g", "f").agg(quart(0.5).alias("c"), ((quart(0.75) - quart(0.25)) / 1.349).alias("s"), F.max("all").alias("n"))
-    floors = [f for _, f in FEATURES.values()]
-    pick = lambda f, name: F.max(F.when(F.col("f") == f, F.col(name)))
-    model = start.groupBy("g").agg(
-        F.max("n").alias("n"), *[pick(i, "c").alias(f"c{i}") for i in range(_D)],
-        *[(F.sqrt(pick(i, "s") * pick(i, "s") + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_D) for j in range(i + 1)],
-    )
-    model = staged(model, "quality-start")
-    sizes_of = model.select("g", "n")
+    ok = rows.filter(fit).select(F.explode(F.array("g", F.lit(_ALL))).alias("g"), *FEATURES)
+    limit = chi_square_quantile(1 - tail, _D)
     scale = h / chi_square_cdf(chi_square_quantile(h, _D), _D + 2)
+    model = staged(_factor(_starts(ok)), "quality-starts")
     for step in range(steps):
-        counted = _with_distance(ok.join(model, "g")).groupBy("g", "_bin").count()
-        by = Window.partitionBy("g")
+        seen = _with_distance(ok.join(model.select("g", "start", *_MODEL, *[f"l{i}{j}" for i, j in _PAIRS]), "g"))
+        counted = seen.groupBy("g", "start", "_bin").count()
+        by = Window.partitionBy("g", "start")
         counted = counted.withColumn("upto", F.sum("count").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("count").over(by))
-        edge = counted.groupBy("g").agg(F.min(F.when(F.col("upto") >= F.col("all") * h, F.col("_bin"))).alias("_edge"))
-        limits = staged(model.join(edge, "g"), f"quality-edge{step}")
-        near = _with_distance(ok.join(limits, "g")).filter(F.col("_bin") <= F.col("_edge"))
-        sums = near.groupBy("g").agg(
-            F.count("*").alias("m"), *[F.sum(f"x{i}").alias(f"m{i}") for i in range(_D)],
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i in range(_D) for j in range(i + 1)],
-        )
-        model = staged(_factor(sums.withColumn("_scale", F.lit(scale))), f"quality-model{step}")
-    final = staged(model.join(sizes_of, "g"), "quality-final") if steps else model
-    limit = slack * chi_square_quantile(1 - tail, _D)
-    judged = _with_distance(rows.join(final, "g", "left"))
-    near = F.coalesce(F.col("_d2") <= limit, F.lit(True)) | (F.col("n") < least_rows)
+        edge = counted.groupBy("g", "start").agg(F.min(F.when(F.col("upto") >= F.col("all") * h, F.col("_bin"))).alias("_edge"))
+        edge = staged(edge, f"quality-edge{step}")  # a few rows: written, Spark knows that
+        near = seen.select("g", "start", *FEATURES, "_bin").join(edge, ["g", "start"]).filter(F.col("_bin") <= F.col("_edge"))
+        was = model.select("g", "start", "n", F.col("logdet").alias("_was"))
+        found = _factor(_moments(near, "1D", scale, "g", "start")).join(was, ["g", "start"])
+        if step == 1:
+            found = _least(found)
+        found = staged(found, f"quality-step{step}")
+        release(edge, model)
+        model = found
+        if model.filter(F.col("_was") - F.col("logdet") > 0.01).isEmpty():
+            break
+    best = staged(_least(model).select("g", "n", *_MODEL), "quality-best")
+    whole = best.filter(F.col("g") == _ALL).first()
+    if whole:
+        own, all_ = f"(n / (n + {prior}D))", {c: f"{whole[c]!r}D" for c in _MODEL}
+        blend = [f"{own} * {c} + (1 - {own}) * {all_[c]}" + (f" + {own} * (1 - {own}) * (c{c[1]} - {all_[f'c{c[1]}']}) * (c{c[2]} - {all_[f'c{c[2]}']})" if c[0] == "s" else "") + f" as {c}" for c in _MODEL]
+        best = staged(_factor(best.selectExpr("g", *[x.replace(" as ", " as _b") for x in blend]).toDF("g", *_MODEL)).drop("logdet"), "quality-final")
+    else:
+        best = _factor(best.select("g", *_MODEL)).drop("logdet")
+    judged = _with_distance(rows.join(best, "g", "left"))
     return judged.select(
         "_row.*", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(~F.col("base_failed"), F.col("_d2")).alias("distance2"), (~F.col("base_failed") & F.coalesce(near, F.lit(True))).alias("kept"),
+        F.when(fit, F.col("_d2")).alias("distance2"), (fit & F.coalesce(F.col("_d2") <= limit, F.lit(False))).alias("kept"),
     )

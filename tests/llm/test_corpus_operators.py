@@ -119,6 +119,68 @@ def test_hilbert_curve_steps_to_a_neighbour():
     assert (np.abs(np.diff(grid[order], axis=0)).sum(1) == 1).all()
 
 
+def water_fill(sizes, weights, total, most):
+    out, left = [0.0] * len(sizes), set(range(len(sizes)))
+    while left:
+        share = {i: total * weights[i] / sum(weights[j] for j in left) for i in left}
+        over = {i for i in left if share[i] > most * sizes[i]}
+        if not over:
+            for i in left:
+                out[i] = share[i]
+            return out
+        for i in over:
+            out[i] = most * sizes[i]
+        total -= sum(out[i] for i in over)
+        left -= over
+    return out
+
+
+def mixed_by_hand(rows, most=3.0, tilt=0.1):
+    """rows: (doc_id, source, size, u); the copies of each row, for distinct u."""
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(r[2] for r in rows if r[1] == s) for s in names]
+    goals = water_fill(sizes, [1 + i % 3 for i in range(len(names))], float(sum(sizes)), most)
+    copies = {}
+    for s, goal, total in zip(names, goals, sizes):
+        own = [r for r in rows if r[1] == s]
+        g = {r: math.floor(1000 * max(r[2], 1) ** tilt) for r in own}
+        if goal >= most * total * (1 - 1e-9):
+            copies |= {r[0]: 3 * (r[2] > 0) for r in own}
+            continue
+        full = set()
+        while True:
+            rest = [r for r in own if r not in full]
+            rate = (goal - most * sum(r[2] for r in full)) / sum(r[2] * g[r] for r in rest)
+            new = full | {r for r in rest if rate * g[r] >= most and r[2] > 0}
+            if new == full:
+                break
+            full = new
+        due = {r: most if r in full else rate * g[r] for r in own}
+        copies |= {r[0]: math.floor(due[r]) * (r[2] > 0) for r in own}
+        p = {r: due[r] % 1 for r in own if r[2] > 0 and r not in full and due[r] % 1 > 0}
+        order = sorted(p, key=lambda r: r[3] / (1 - r[3]) * (1 - p[r]) / p[r])
+        room = goal - sum(r[2] * math.floor(due[r]) for r in own)
+        while order and order[0][2] <= room:
+            copies[order[0][0]] += 1
+            room -= order.pop(0)[2]
+        if order and abs(room - (last := min(order, key=lambda r: abs(room - r[2])))[2]) < room:
+            copies[last[0]] += 1
+    return copies
+
+
+def test_mixing_equals_a_version_by_hand(spark):
+    rng = random.Random(12)
+    size = [0, 1, 1, 2, 2, 3, *[rng.randint(4, 900) for _ in range(500)]]
+    rows = [(i, None if i % 41 == 3 else f"s{i % 6 if i % 17 else 6}", "w " * n) for i, n in enumerate(size)]
+    rows += [(1000 + i, "tiny", "x " * (2 + i % 3 * 300)) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    u = df.select("doc_id", ((F.shiftrightunsigned(F.xxhash64(F.lit(2), "doc_id", F.xxhash64("text")), 11) + 0.5) / float(1 << 53)).alias("u"))
+    u = {r["doc_id"]: r["u"] for r in u.collect()}
+    want = mixed_by_hand([(d, s, len(t.split()), u[d]) for d, s, t in rows])
+    got = mixing.pareto_mix(df.repartition(7)).collect()
+    assert {r["doc_id"]: r["copies"] for r in got} == want and max(want.values()) == 3
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("concat('s', id % 5)").alias("source"), F.expr("repeat('w ', cast(5 + id % 97 as int))").alias("text"))
     got = mixing.pareto_mix(many).toPandas()
@@ -130,7 +192,8 @@ def test_mixing_meets_targets(spark, docs, empty):
     odd = mixing.pareto_mix(docs).toPandas()
     assert len(odd) == docs.count() and (odd.copies <= 3).all() and "copies" in odd and "shard" in odd
     assert mixing.pareto_mix(empty).count() == 0
-    assert mixing.water_fill([10, 100, 100], [1, 1, 1], 210, 3) == [30, 90, 90]
+    limit = spark.createDataFrame([(i, "a" if i < 400 else "b", "w w" if i % 2 else "w") for i in range(410)], "doc_id long, source string, text string")
+    assert set(mixing.pareto_mix(limit, weights=(1, 300)).filter("source = 'b'").toPandas().copies) == {3}  # a source at its limit is there three times whole
 
 
 def test_secrets_match_the_patterns(docs, empty, rows):
@@ -224,7 +287,7 @@ def statistics_of(t):
 
 
 def test_quality_statistics_and_distances(docs, empty, rows):
-    got = quality.robust_outliers(docs, least_rows=5).toPandas()
+    got = quality.robust_outliers(docs).toPandas()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     want = Counter((r[0] if r[0] is not None else -1, *statistics_of(r[1])) for r in rows)
     assert Counter(zip(got.doc_id.fillna(-1).astype(int), *[got[n] for n in names])) == want
@@ -232,31 +295,77 @@ def test_quality_statistics_and_distances(docs, empty, rows):
     assert (got.base_failed == failed).all() and not got.kept[failed].any()
     assert not got.kept[got.n_symbols > 100].any() and got.kept[~failed & (got.n_symbols == 0) & (got.n_repeat_words == 0)].all()
     assert quality.robust_outliers(empty).count() == 0
+    short = docs.filter("n_chars < 20")
+    assert quality.robust_outliers(short).filter("kept").count() == 0 and quality.robust_outliers(short).count() == short.count()
 
 
-def test_distances_equal_a_numpy_version(spark):
-    rng = random.Random(5)
-    data = [(i, " ".join("w" * rng.randint(1, 9) + str(rng.random()) for _ in range(rng.randint(60, 400))) + " #" * rng.choice([0, 0, 0, 30])) for i in range(120)]
-    df = spark.createDataFrame([(i, t, "en", "a") for i, t in data], "doc_id long, text string, lang string, source string")
-    got = quality.robust_outliers(df, least_rows=10).toPandas().sort_values("doc_id")
-    g = got[~got.base_failed]
-    x = np.stack([np.log(g.n_words), np.log((g.word_chars + 1) / (g.n_words + 1)), np.log1p(10 * g.n_symbols / g.n_words), g.n_repeat_words / g.n_words, g.n_dup_lines / g.n_lines], 1)
+def robust_by_hand(x, group, eighth, h=0.75, prior=50.0, steps=12):
+    """Squared distances by groups, each blended with the estimate of all rows."""
     floor = np.array([f for _, f in quality.FEATURES.values()])
+    scale = h / quality.chi_square_cdf(quality.chi_square_quantile(h, 5), 7)
+    det = lambda s: np.linalg.slogdet(s + np.diag(floor**2))[1]
 
     def quantile(v, q):
         b = np.sort(np.floor(v / 0.01 + 0.5))
         return b[math.ceil(q * len(b)) - 1] * 0.01
 
-    center = np.array([quantile(c, 0.5) for c in x.T])
-    cov = np.diag([((quantile(c, 0.75) - quantile(c, 0.25)) / 1.349) ** 2 + f * f for c, f in zip(x.T, floor)])
-    scale = 0.75 / quality.chi_square_cdf(quality.chi_square_quantile(0.75, 5), 7)
-    for _ in range(3):
-        d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
-        bins = np.floor(np.log(d + 1e-9) * 32)
-        near = x[bins <= np.sort(bins)[math.ceil(0.75 * len(bins)) - 1]]
-        center, cov = near.mean(0), np.cov(near.T, bias=True) * scale + np.diag(floor**2)
-    d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
-    assert np.allclose(g.distance2, d, rtol=1e-6)
+    def distance(x, c, s):
+        return np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s + np.diag(floor**2)), x - c)
+
+    def moments(x, w, scale):
+        c = (w[:, None] * x).sum(0) / w.sum()
+        return c, ((w[:, None] * x).T @ x / w.sum() - np.outer(c, c)) * scale
+
+    model, start = {}, {}
+    for g in sorted(set(group)) + ["*"]:
+        at = np.array([g in (k, "*") for k in group])
+        own = x[at]
+        c = np.array([quantile(v, 0.5) for v in own.T])
+        s = np.diag([((quantile(v, 0.75) - quantile(v, 0.25)) / 1.349) ** 2 for v in own.T])
+        d = distance(own, c, s)
+        ways = [(1 + d / 5) ** -2, 1 / np.sqrt(np.maximum(d, 0.01)), (eighth[at] == 0) * 1.0, (eighth[at] == 1) * 1.0]
+        start[g] = own, [(c, s)] + [moments(own, w, 1.0) if w.sum() else None for w in ways]
+    for step in range(steps):
+        falls = False
+        for g, (own, found) in start.items():
+            for i, m in enumerate(found):
+                if m is None:
+                    continue
+                bins = np.floor(np.log(distance(own, *m) + 1e-9) * 32)
+                near = own[bins <= np.sort(bins)[math.ceil(h * len(bins)) - 1]]
+                new = moments(near, np.ones(len(near)), scale)
+                fall = det(m[1]) - det(new[1]) > 0.01
+                found[i] = (*new, fall)
+            if step == 1:
+                start[g] = own, [min((m for m in found if m is not None), key=lambda m: det(m[1]))]
+            falls |= any(m[2] for m in start[g][1] if m is not None)
+            start[g] = own, [m and m[:2] for m in start[g][1]]
+        if not falls:
+            break
+    for g, (own, found) in start.items():
+        model[g] = (*min((m for m in found if m is not None), key=lambda m: det(m[1])), len(own))
+    out = np.zeros(len(x))
+    for g in set(group):
+        c, s, n = model[g]
+        a, (ca, sa, _) = n / (n + prior), model["*"]
+        both = a * s + (1 - a) * sa + a * (1 - a) * np.outer(c - ca, c - ca)
+        at = np.array([k == g for k in group])
+        out[at] = distance(x[at], a * c + (1 - a) * ca, both)
+    return out
+
+
+def test_distances_and_verdicts_equal_a_numpy_version(spark):
+    rng = random.Random(5)
+    data = [(i, " ".join("w" * rng.randint(1, 9) + str(rng.random()) for _ in range(rng.randint(60, 400))) + " #" * rng.choice([0, 0, 0, 30]), "en" if i % 9 else None, "a" if i % 4 else "b") for i in range(160)]
+    data += [(1000, "# | " * 300 + "word " * 30 + " ".join(f"x{i}" for i in range(90)), "en", "a")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = quality.robust_outliers(df).toPandas().set_index("doc_id").sort_index()
+    stats = quality.text_statistics(df).withColumns({k: F.expr(e) for k, (e, _) in quality.FEATURES.items()})
+    x = stats.withColumn("e", F.pmod(F.xxhash64(*quality.FEATURES), F.lit(8))).toPandas().set_index("doc_id").sort_index()
+    fit = ~got.base_failed
+    want = robust_by_hand(x[list(quality.FEATURES)][fit].to_numpy(), [f"{a}/{b}" for a, b in zip(x.lang[fit].fillna(""), x.source[fit])], x.e[fit].to_numpy())
+    assert np.allclose(got.distance2[fit], want, rtol=1e-6)
+    assert (got.kept[fit] == (want <= quality.chi_square_quantile(1 - 1e-10, 5))).all() and not got.kept[1000] and got.kept[fit].sum() > 120
 
 
 def test_colliding_window_heads_are_told_apart(spark, monkeypatch):
@@ -267,20 +376,50 @@ def test_colliding_window_heads_are_told_apart(spark, monkeypatch):
     assert got == {i: statistics_of(t)[4] for i, t in enumerate(texts)}
 
 
-def test_scores_match_brute_force(docs, empty, rows):
+@pytest.mark.parametrize("head", [1 << 17, 60])
+def test_scores_match_brute_force(docs, empty, rows, head, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HEAD", head)
+    monkeypatch.setattr(brown_lm, "LEADS", 50)
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     tokens = lambda t: [w.encode() for w in words(lower(t))] + [b"\n"]
     c = Counter(w for r in rows if not held(r[0]) for w in tokens(r[1]))
     n, v = sum(c.values()), len(c)
-    got = brown_lm.score_documents(docs).collect()
+    told = {}
+    got = brown_lm.score_documents(docs, told=told).collect()
     want = defaultdict(list)
+    size = len(told["head"])
+    unit = lambda w: size + brown_lm.ENDINGS if w == b"\n" else told["head"].get(brown_lm.key_of(w), size + brown_lm.group_of(w))
+    of, k = told["cls"], len(told["m"])
+    pairs, counts = np.zeros((k, k)), np.zeros(len(of))
+    for r in rows:
+        if not held(r[0]):
+            u = [unit(w) for w in [b"\n", *tokens(r[1])]]
+            np.add.at(pairs, (of[u[:-1]], of[u[1:]]), 1)
+            np.add.at(counts, u[1:], 1)
+    assert (pairs == told["m"]).all()
+    rare = [w for w in c if unit(w) >= size and w != b"\n"]
+
+    def log_p(text):
+        total, before = 0.0, of[-1]
+        for w in tokens(text):
+            u = unit(w)
+            g = of[u]
+            first = (pairs.sum(0) + 1) / (pairs.sum() + k)
+            total += math.log10((pairs[before, g] + 5 * first[g]) / (pairs[before].sum() + 5))
+            total += math.log10((counts[u] + 0.5) / (counts[of == g].sum() + 0.5 * (of == g).sum()))
+            if u >= size and w != b"\n":
+                own = [x for x in rare if unit(x) == u]
+                total += math.log10((c[w] + 0.5) / (sum(c[x] for x in own) + 0.5 * (len(own) + 1)))
+            before = g
+        return total
+
     for r in rows:
         w = tokens(r[1])
-        want[r[0]].append((len(w), sum(x in c for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)))
+        want[r[0]].append((len(w), sum(x in c for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6), round(log_p(r[1]), 5)))
     have = defaultdict(list)
     for r in got:
-        assert r["held_out"] == held(r["doc_id"]) and r["train_tokens"] == n and r["score"] < 0
-        have[r["doc_id"]].append((r["n_tokens"], r["n_known"], round(r["base_score"], 6)))
+        assert r["held_out"] == held(r["doc_id"]) and r["train_tokens"] == n
+        have[r["doc_id"]].append((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 5)))
     assert {k: sorted(x) for k, x in have.items()} == {k: sorted(x) for k, x in want.items()}
     assert brown_lm.score_documents(empty).count() == 0
 
@@ -288,7 +427,7 @@ def test_scores_match_brute_force(docs, empty, rows):
 def test_rare_words_are_joined_with_the_same_result(docs, monkeypatch):
     full = {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 6)) for r in brown_lm.score_documents(docs).collect()}
     monkeypatch.setattr(brown_lm, "HEAD", 40)
-    monkeypatch.setattr(brown_lm, "OWN", 20)
+    monkeypatch.setattr(brown_lm, "LEADS", 20)
     assert {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 6)) for r in brown_lm.score_documents(docs).collect()} == full
 
 
@@ -298,10 +437,18 @@ def test_exchange_finds_planted_classes():
     pairs = np.array([[rng.poisson(40 if (truth[u] + 1) % 3 == truth[v] else 1) for v in range(31 - 1)] + [1] for u in range(30)] + [[1] * 31])
     cls = brown_lm.exchange_clusters(pairs.astype(float), 4)
     assert len({(a, b) for a, b in zip(truth, cls[:30])}) == 3
-    move, unit = brown_lm.class_tables(pairs.astype(float), cls, 4)
+    onto = np.eye(4)[cls]
+    move, unit = brown_lm.class_tables(onto.T @ pairs @ onto, cls, pairs.sum(0))
     assert np.allclose((10**move).sum(1), 1) and np.allclose([(10 ** unit[cls == k]).sum() for k in range(4)], 1)
 
 
+def test_words_move_to_the_class_of_their_neighbours():
+    m = np.array([[5.0, 400, 5, 20], [5, 5, 400, 20], [400, 5, 5, 20], [20, 20, 20, 0]])
+    right = np.array([[0.0, 9, 0, 0], [0, 0, 9, 0], [0, 0, 0, 0], [9, 0, 0, 0]])
+    left = np.array([[0.0, 0, 9, 0], [9, 0, 0, 0], [0, 0, 0, 0], [0, 9, 0, 0]])
+    assert brown_lm.best_classes(right, left, np.array([1, 1, 2, 0]), m).tolist() == [0, 1, 2, 2]
+
+
 def test_personal_data_matches_the_patterns(docs, empty, rows):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -395,6 +542,7 @@ def test_join_finds_all_components(spark, docs, empty, rows):
 def test_join_of_chained_and_hot_families(spark, group_size, monkeypatch):
     """Families whose members drift apart, so that min-hash pivots miss links and groups must be opened."""
     monkeypatch.setattr(jaccard_join, "_KEYS", 1)
+    monkeypatch.setattr(jaccard_join, "_BLOCK", 2 if group_size == 3 else 512)
     rng = random.Random(8)
     rows = []
     for f in range(6):
