@@ -58,6 +58,11 @@ def staged(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def staged_small(df: DataFrame, tag: str, files: int = 8) -> DataFrame:
+    """Like staged(), for tables of a few rows a group: in few files, whose size then tells Spark that they can be broadcast."""
+    return staged(df.coalesce(files), tag)
+
+
 def reread(table: DataFrame) -> DataFrame:
     """Another reader of a staged table, whose columns are told apart from the first one's in a self-join."""
     return table.sparkSession.read.schema(table.schema).parquet(table._stage_path)
