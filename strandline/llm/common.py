@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stages import noted, release, reread, shared_dir, staged  # noqa: F401
+from ..sources.stages import noted, release, reread, shared_dir, staged, staged_small  # noqa: F401
 
 #: White space of the word rule (ASCII only) and a word, as Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"

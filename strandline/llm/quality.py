@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import release, staged
+from .common import release, staged, staged_small
 
 #: Transformed statistics and the least standard deviation that each is given.
 FEATURES = {
@@ -116,7 +116,7 @@ def _starts(ok: DataFrame) -> DataFrame:
     """Five first estimates a group, by start: medians and quartile spreads; moments under weights
     that fall with the standardised distance, and under unit directions; two random eighths."""
     bins = ok.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(f"x{i}") / _BIN).cast("long").alias("b")) for i in range(_D)])).alias("e"))
-    bins = bins.groupBy("g", "e.f", "e.b").count()
+    bins = staged_small(bins.groupBy("g", "e.f", "e.b").count(), "quality-bins")  # counted first: windows get a row a bin
     gf = Window.partitionBy("g", "f")
     bins = bins.withColumn("upto", F.sum("count").over(gf.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("count").over(gf))
     quart = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("b"))) * _BIN
@@ -125,7 +125,7 @@ def _starts(ok: DataFrame) -> DataFrame:
         F.max("n").alias("n"), *[F.expr(f"max(case when f = {i} then c end) as c{i}") for i in range(_D)],
         *[F.expr(f"max(case when f = {i} then s * s end) as s{i}{j}" if i == j else f"0D as s{i}{j}") for i, j in _PAIRS],
     )
-    first = staged(_factor(first), "quality-first")
+    first = staged_small(_factor(first), "quality-first")
     z2 = F.col("_d2")
     ways = F.array(
         F.struct(F.lit(1).alias("start"), F.pow(1 + z2 / _D, F.lit(-2.0)).alias("weight")),
@@ -146,7 +146,7 @@ def _least(model: DataFrame) -> DataFrame:
 
 
 def robust_outliers(
-    df: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text: str = "text", h: float = 0.75, steps: int = 12,
+    df: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text: str = "text", h: float = 0.75, steps: int = 8,
     tail: float = 1e-10, prior: float = 50.0, carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Columns ``carry`` (all but the text if None), text_hash, the statistics, base_failed, distance2 and kept.
@@ -155,7 +155,7 @@ def robust_outliers(
     minimum covariance determinant is sought from the five starts of _starts() by concentration
     steps: the share ``h`` of rows nearest by Mahalanobis distance gives the next center and
     covariance (scaled for consistency, with a floor on its diagonal). After two steps the start
-    with the least determinant goes on, until no determinant falls by a hundredth (``steps`` steps
+    with the least determinant goes on, until no log determinant falls by 0.05 (``steps`` steps
     at most). All rows
     together are a group as well, and its estimate counts as ``prior`` rows in that of each group,
     so a small group is judged mostly as a part of the whole and a large one by itself, at every
@@ -182,30 +182,30 @@ def robust_outliers(
     ok = rows.filter(fit).select(F.explode(F.array("g", F.lit(_ALL))).alias("g"), *FEATURES)
     limit = chi_square_quantile(1 - tail, _D)
     scale = h / chi_square_cdf(chi_square_quantile(h, _D), _D + 2)
-    model = staged(_factor(_starts(ok)), "quality-starts")
+    model = staged_small(_factor(_starts(ok)), "quality-starts")
     for step in range(steps):
         seen = _with_distance(ok.join(model.select("g", "start", *_MODEL, *[f"l{i}{j}" for i, j in _PAIRS]), "g"))
         counted = seen.groupBy("g", "start", "_bin").count()
         by = Window.partitionBy("g", "start")
         counted = counted.withColumn("upto", F.sum("count").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("count").over(by))
         edge = counted.groupBy("g", "start").agg(F.min(F.when(F.col("upto") >= F.col("all") * h, F.col("_bin"))).alias("_edge"))
-        edge = staged(edge, f"quality-edge{step}")  # a few rows: written, Spark knows that
+        edge = staged_small(edge, f"quality-edge{step}")  # a few rows: written, Spark knows that
         near = seen.select("g", "start", *FEATURES, "_bin").join(edge, ["g", "start"]).filter(F.col("_bin") <= F.col("_edge"))
         was = model.select("g", "start", "n", F.col("logdet").alias("_was"))
         found = _factor(_moments(near, "1D", scale, "g", "start")).join(was, ["g", "start"])
         if step == 1:
             found = _least(found)
-        found = staged(found, f"quality-step{step}")
+        found = staged_small(found, f"quality-step{step}")
         release(edge, model)
         model = found
-        if model.filter(F.col("_was") - F.col("logdet") > 0.01).isEmpty():
+        if model.filter(F.col("_was") - F.col("logdet") > 0.05).isEmpty():
             break
-    best = staged(_least(model).select("g", "n", *_MODEL), "quality-best")
+    best = staged_small(_least(model).select("g", "n", *_MODEL), "quality-best")
     whole = best.filter(F.col("g") == _ALL).first()
     if whole:
         own, all_ = f"(n / (n + {prior}D))", {c: f"{whole[c]!r}D" for c in _MODEL}
         blend = [f"{own} * {c} + (1 - {own}) * {all_[c]}" + (f" + {own} * (1 - {own}) * (c{c[1]} - {all_[f'c{c[1]}']}) * (c{c[2]} - {all_[f'c{c[2]}']})" if c[0] == "s" else "") + f" as {c}" for c in _MODEL]
-        best = staged(_factor(best.selectExpr("g", *[x.replace(" as ", " as _b") for x in blend]).toDF("g", *_MODEL)).drop("logdet"), "quality-final")
+        best = staged_small(_factor(best.selectExpr("g", *[x.replace(" as ", " as _b") for x in blend]).toDF("g", *_MODEL)).drop("logdet"), "quality-final")
     else:
         best = _factor(best.select("g", *_MODEL)).drop("logdet")
     judged = _with_distance(rows.join(best, "g", "left"))
