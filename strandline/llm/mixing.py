@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.ranking import position
-from .common import release, reread, staged, word_count
+from .common import release, reread, staged, staged_small, word_count
 
 
 def _targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """Adds _goal to a row per source (_s, _total): shares of all words by weight, none over ``most`` times its total, the excess reshared."""
     placed = position(sources, [F.col("_s").asc_nulls_last()], "_at")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_at") - 1, F.lit(len(weights))) + 1).cast("int"))
-    placed = staged(placed.withColumn("_w", w).drop("_at"), "mix-weights")
+    placed = staged_small(placed.withColumn("_w", w).drop("_at"), "mix-weights")
     level, full = F.lit(0.0), -1
     while True:
         over = level * F.col("_w") > most * F.col("_total")
@@ -29,16 +29,16 @@ def _rates(sized: DataFrame, plan: DataFrame, most: float) -> DataFrame:
     """Adds _rate to the plan: copies due per tilt, so that the due words of a source, none over ``most`` copies, sum to its goal."""
     at_limit = F.col("_goal") >= most * F.col("_total") * (1 - 1e-9)
     rate = F.when(at_limit, F.lit(float("inf"))).otherwise(F.col("_goal") / F.col("_gn"))
-    plan = staged(plan.withColumn("_rate", rate).withColumn("_capped", F.lit(0).cast("long")), "mix-rates")
+    plan = staged_small(plan.withColumn("_rate", rate).withColumn("_capped", F.lit(0).cast("long")), "mix-rates")
     while not plan.filter((F.col("_rate") < float("inf")) & (F.col("_rate") * F.col("_gmax") >= most)).isEmpty():
         full = sized.join(plan, sized["_s"].eqNullSafe(plan["_s"])).filter((F.col("_rate") < float("inf")) & (F.col("_rate") * F.col("_g") >= most) & (F.col("_n") > 0))
         full = full.groupBy(sized["_s"].alias("_fs")).agg(F.sum("_n").alias("_fn"), F.sum(F.col("_n") * F.col("_g")).alias("_fg"), F.count("*").alias("_more"))
-        full = staged(full, "mix-full")
+        full = staged_small(full, "mix-full")
         joined = plan.join(full, plan["_s"].eqNullSafe(full["_fs"]), "left")
         left = F.col("_gn") - F.coalesce("_fg", F.lit(0))
         again = F.when(F.col("_fn").isNotNull() & (left > 0), (F.col("_goal") - most * F.col("_fn")) / left).otherwise(F.col("_rate"))
         moved = F.coalesce("_more", F.lit(0)) != F.col("_capped")
-        new = staged(joined.select("_s", "_total", "_goal", "_gn", "_gmax", again.alias("_rate"), F.coalesce("_more", F.lit(0)).alias("_capped"), moved.alias("_moved")), "mix-rates")
+        new = staged_small(joined.select("_s", "_total", "_goal", "_gn", "_gmax", again.alias("_rate"), F.coalesce("_more", F.lit(0)).alias("_capped"), moved.alias("_moved")), "mix-rates")
         done = new.filter("_moved").isEmpty()
         release(plan, full)
         plan = new.drop("_moved")
@@ -84,7 +84,7 @@ def pareto_mix(
     t = df.select(row, F.col(source).alias("_s"), words.alias("_n"), u.alias("_u"), F.monotonically_increasing_id().alias("_i")).withColumn("_g", g)
     t = staged(t, "mix-sized")
     sized = t.select("_s", "_n", "_g", "_u", "_i")
-    sources = staged(sized.groupBy("_s").agg(F.sum("_n").alias("_total"), F.sum(F.col("_n") * F.col("_g")).alias("_gn"), F.max("_g").alias("_gmax")), "mix-sources")
+    sources = staged_small(sized.groupBy("_s").agg(F.sum("_n").alias("_total"), F.sum(F.col("_n") * F.col("_g")).alias("_gn"), F.max("_g").alias("_gmax")), "mix-sources")
     plan = _rates(sized, _targets(sources, weights, most), most)
 
     due = F.least(F.col("_rate") * F.col("_g"), F.lit(float(most)))
@@ -104,17 +104,17 @@ def pareto_mix(
     run = F.sum("_n").over(Window.partitionBy("_s", "_p").orderBy("_q", "_i").rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("_run", run).join(starts, dealt["_s"].eqNullSafe(F.col("_os")) & (dealt["_p"] == F.col("_op")))
     room = plan.join(certain, plan["_s"].eqNullSafe(certain["_cs"])).select(F.col("_s").alias("_rs"), (F.col("_goal") - F.col("_certain")).alias("_room"))
-    room = staged(room, "mix-room")
+    room = staged_small(room, "mix-room")
     placed = placed.withColumn("_upto", F.col("_start") + F.col("_run")).join(room, F.col("_s").eqNullSafe(F.col("_rs"))).select("_s", "_q", "_i", "_n", "_upto", "_room")
     placed = staged(placed, "mix-placed")
     fits = F.col("_upto") <= F.col("_room")
     cut = placed.groupBy("_s").agg(F.max(F.when(fits, F.struct("_q", "_i"))).alias("_cut"), F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)).alias("_taken"))
-    cut = staged(cut.withColumnRenamed("_s", "_ks"), "mix-cut")
+    cut = staged_small(cut.withColumnRenamed("_s", "_ks"), "mix-cut")
     open_ = F.col("_room") - F.col("_taken")
     last = placed.filter(~fits).join(cut, F.col("_s").eqNullSafe(F.col("_ks"))).filter(F.abs(open_ - F.col("_n")) < open_)
-    last = staged(last.groupBy(F.col("_s").alias("_ls")).agg(F.min(F.struct(F.abs(open_ - F.col("_n")).alias("d"), "_q", "_i")).alias("_last")), "mix-last")
+    last = staged_small(last.groupBy(F.col("_s").alias("_ls")).agg(F.min(F.struct(F.abs(open_ - F.col("_n")).alias("d"), "_q", "_i")).alias("_last")), "mix-last")
     plan = plan.join(cut, plan["_s"].eqNullSafe(F.col("_ks")), "left").join(last, plan["_s"].eqNullSafe(F.col("_ls")), "left")
-    plan = staged(plan.select("_s", "_total", "_goal", "_rate", "_cut", F.col("_last._i").alias("_last")), "mix-plan")
+    plan = staged_small(plan.select("_s", "_total", "_goal", "_rate", "_cut", F.col("_last._i").alias("_last")), "mix-plan")
     release(dealt, placed)
     at = F.struct("_q", "_i")
     more = F.col("_q").isNotNull() & F.coalesce((at <= F.col("_cut")) | (F.col("_i") == F.col("_last")), F.lit(False))
