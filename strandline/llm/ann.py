@@ -68,24 +68,53 @@ def _query_blocks(batches, block: int, dim: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _QUERY.types, strict=True)], schema=_QUERY)
 
 
+_PLANES = 4  # bits of a query's coordinates
+
+
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as rows of 64-bit words."""
+    out = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), dtype=np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+def code_products(words: np.ndarray, ones: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inner products of every code (signs, as packed bits) with a vector, from the bits alone, and the length of what rounding left out.
+
+    The vector's coordinates are rounded to 2^_PLANES steps; each bit of the steps is a packed
+    plane, whose product with a code is a count of common bits. ``ones``: the set bits of each code.
+    """
+    low = u.min()
+    step = (u.max() - low) / ((1 << _PLANES) - 1) or 1.0
+    k = np.rint((u - low) / step).astype(np.uint8)
+    total = np.zeros(len(words), dtype=np.int64)
+    for p in range(_PLANES):
+        plane = _words(np.packbits((k >> p) & 1)[None, :])
+        total += np.bitwise_count(words & plane).sum(1, dtype=np.int64) << p
+    rounded = low + step * k
+    return 2 * (low * ones + step * total) - rounded.sum(), float(np.sqrt(((u - rounded) ** 2).sum()))
+
+
 def search_block(ids, x, bits, scale, q_ids, q, rotation: Rotation, k: int, bound: float) -> list[tuple[int, int, float]]:
     """(query, candidate, distance) of the best ``k`` candidates in one block for each query.
 
-    The inner product of unit residuals is estimated as <code, query> / <code, vector>; its error
-    is at most bound * sqrt((1 - c^2) / c^2 / (dim - 1)), c = <code, vector>, with the probability
-    that ``bound`` stands for. The k best by estimate are computed first; every candidate whose
-    least possible distance is within the k-th of those is computed too.
+    The inner product of unit residuals is estimated as <code, query> / <code, vector> from packed
+    bits; its error is at most bound * sqrt((1 - c^2) / c^2 / (dim - 1)), c = <code, vector>, with
+    the probability that ``bound`` stands for, and what rounding the query adds. The k best by
+    estimate are computed first; every candidate whose least possible distance is within the k-th
+    of those is computed too.
     """
     d = x.shape[1]
     u, qn = rotation.turn(q)
     n, c = scale[:, 0], scale[:, 1]
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
+    words = _words(bits)
+    ones = np.bitwise_count(words).sum(1, dtype=np.int64)
     spread = bound * np.sqrt(np.maximum(1 - c * c, 0) / (c * c) / max(d - 1, 1))
     out = []
     for i in range(len(q)):
-        dot = (signs @ u[i].astype(np.float32)).astype(np.float64) / np.sqrt(d) / c
-        near = n * n + qn[i] ** 2 - 2 * n * qn[i] * dot
-        least = near - 2 * n * qn[i] * spread
+        dot, off = code_products(words, ones, u[i])
+        near = n * n + qn[i] ** 2 - 2 * n * qn[i] * dot / np.sqrt(d) / c
+        least = near - 2 * n * qn[i] * (spread + bound * off / np.sqrt(d) / c)
         own = ids == q_ids[i]
         near[own] = least[own] = np.inf
         free = len(ids) - int(own.sum())
@@ -127,7 +156,8 @@ def nearest(
     The center is the mean of at most ``sample`` rows (only it depends on the sample, and only the
     width of the bounds depends on it). Rows become blocks of packed one-bit codes, scalars and
     vectors; the query set, in blocks of its own, meets all blocks. Each block pair returns ``k``
-    rows a query at most, and the rank is a window over those, cut before its exchange.
+    rows a query at most, and the rank is a window over those, cut before its exchange. Columns
+    other than the two named are not read; equal vectors are candidates each.
     """
     spark = df.sparkSession
     x = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).filter(F.col("vec_id").isNotNull())
