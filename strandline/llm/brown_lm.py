@@ -226,8 +226,8 @@ def cluster(coded: DataFrame, n_head: int, group_of_head: np.ndarray, classes: i
     n_lead = leads + ENDINGS + 1
     texts = coded.filter("key is null and not held_out").select("codes")
     pairs, shared = np.zeros((n_lead, n_lead)), spark.sparkContext.broadcast(onto)
-    for r in texts.mapInArrow(lambda b: _count_pairs(b, shared.value, n_lead), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        pairs[divmod(r["pair"], n_lead)] = r["n"]
+    found = texts.mapInArrow(lambda b: _count_pairs(b, shared.value, n_lead), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs.ravel()[found["pair"].to_numpy()] = found["n"].to_numpy()
     cls, best = exchange_clusters(pairs, classes)[onto], None
     for sweep in range(SWEEPS + 1):
         given = spark.sparkContext.broadcast(cls)
@@ -360,11 +360,12 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", told
         if room < 0:
             break
         least = r["b"]
-    top = vocab.filter((level >= least) if least is not None else F.lit(False)).filter(F.col("grp") >= 0).collect()
+    top = vocab.filter((level >= least) if least is not None else F.lit(False)).filter(F.col("grp") >= 0).toArrow()
     ends = sum(r["n"] for r in vocab.filter(F.col("grp") < 0).collect())
-    top.sort(key=lambda r: (-r["n"], bytes(r["key"])))
-    head, n_head = {bytes(r["key"]): i for i, r in enumerate(top)}, len(top)
-    count, grp = np.array([r["n"] for r in top], dtype=np.float64), np.array([r["grp"] for r in top], dtype=np.int64)
+    top = top.sort_by([("n", "descending"), ("key", "ascending")])
+    head, n_head = {k: i for i, k in enumerate(top["key"].to_pylist())}, len(top)
+    count, grp = top["n"].to_numpy().astype(np.float64), top["grp"].to_numpy().astype(np.int64)
+    del top
     group_n, group_v = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in vocab.filter(F.col("grp") >= 0).groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         group_n[r["grp"]], group_v[r["grp"]] = r["n"], r["v"]
