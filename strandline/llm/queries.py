@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown_lm, jaccard_join, mixing, packing, pii, quality, secrets, sharding, token_counts
+from . import ann, brown_lm, filter_audit, jaccard_join, mixing, packing, pii, quality, secrets, sharding, token_counts, url_filter, whitening
 from .common import documents
 
 
@@ -64,6 +64,21 @@ def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash", "lead")
 
 
+def op11_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    out = url_filter.judge_urls(pages, url_filter.fit_table(url_filter.labelled_table()))
+    return out.select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
+def op12_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "source", "text"), labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -81,7 +96,23 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.c, d
 from documents d left join n on n.doc_id = d.doc_id left join (select x, min(y) as c from r group by 1) m on m.x = d.doc_id
 """
 
+_AUDIT = r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, min(doc_id) over (partition by text) as least from t),
+f as (select doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails from w),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+m as (select part, fails, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n from f left join l using (doc_id) group by all),
+x as (select unnest([1, 2, 3, 4, 5]) as i),
+o as (select [a.i, b.i, c.i, d.i, e.i] as seq from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+r as (select m.*, seq, coalesce(list_min(list_filter(range(1, 6), lambda k: fails[seq[k]])), 6) as first from m, o),
+s as (select part, seq, step, sum(n) filter (where first > step) as kept, sum(n) filter (where first = step) as removed, sum(n) filter (where fails[seq[step]] and first < step) as redundant,
+  sum(n) filter (where fails[seq[step]] and len(list_filter(fails, lambda y: y)) = 1) as unique_fails, sum(n) filter (where first = step and good) as good_lost, sum(n) filter (where first = step and toxic) as toxic_lost
+  from r, (select unnest([1, 2, 3, 4, 5]) as step) group by 1, 2, 3)
+select part, array_to_string(list_transform(seq, lambda k: chr(64 + k::int)), '') as filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, sum(coalesce(removed, 0)) over (partition by part, seq[step])::bigint as shapley from s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Only the join is stated in SQL; the others are tested against brute-force versions."""
-    return {"op10_token_group_join": _COMPONENTS}
+    """The join and the audit are stated in SQL; the others are tested against brute-force versions."""
+    return {"op10_token_group_join": _COMPONENTS, "op13_filter_replay": _AUDIT}
