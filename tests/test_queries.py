@@ -5,7 +5,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 #: Folds and position scans that SQL does not state simply; tested by hand-made rows.
-NO_SQL = {"q_pacing", "q_windows"}
+NO_SQL = {"q_pacing"}
 
 
 def test_every_query_has_sql():
