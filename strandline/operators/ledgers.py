@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stages import staged
+from . import scans
 from .matching import newer_wins
 
 
@@ -36,39 +38,34 @@ def ingest_decisions(rows: DataFrame, existing: DataFrame, key: str, order: str,
 
 
 def pacing(df: DataFrame, by: list[str], order: str, failed: Column, low: float = 3.0, base: float = 5.0, high: float = 15.0, backoff: float = 10.0, stable: int = 25, strikes: int = 2) -> DataFrame:
-    """Pause after each row of a run, by a fold over its outcomes in order.
+    """Pause after each row of a run, a fold over its outcomes in order.
 
     A success adds to a calm streak that takes one second off at each ``stable``; a failure ends
-    it and raises the pause to ``backoff``, or to ``high`` from the ``strikes``-th in a row. One
-    run's outcomes (a flag each) make one array.
+    it and raises the pause to ``backoff``, or to ``high`` from the ``strikes``-th in a row. A row's
+    place in its streak tells which of these happens, and every one maps a pause p to
+    max(p + step, floor), so both are prefix scans: a run of any length is spread over ranges.
+    Pauses count to six places. A null outcome is a success.
     """
-    state = "struct<pause: double, calm: int, strikes: int, event: string, n: int>"
-    run = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), failed.cast("boolean").alias("f")))).alias("_run"))
-
-    def step(seen: Column, x: Column) -> Column:
-        s = F.element_at(seen, -1)
-        strike = F.when(x["f"], s["strikes"] + 1).otherwise(0)
-        calm = F.when(x["f"], 0).otherwise(s["calm"] + 1)
-        due = calm >= stable
-        up = F.least(F.lit(high), F.greatest(s["pause"], F.when(strike >= strikes, high).otherwise(backoff)))
-        down = F.greatest(F.lit(low), s["pause"] - 1.0)
-        pause = F.when(x["f"], up).when(due, down).otherwise(s["pause"])
-        event = (
-            F.when(x["f"] & (pause > s["pause"]), "backoff").when(x["f"], "backoff_held")
-            .when(due & (pause < s["pause"]), "stable_step_down").when(due, "stable_at_min").otherwise("stable_hold")
-        )
-        new = F.struct(pause.alias("pause"), F.when(due, 0).otherwise(calm).cast("int").alias("calm"), strike.cast("int").alias("strikes"), event.alias("event"), (s["n"] + 1).alias("n"))
-        return F.concat(seen, F.array(new.cast(state)))
-
-    start = F.array(F.struct(F.lit(base).alias("pause"), F.lit(0).alias("calm"), F.lit(0).alias("strikes"), F.lit("start").alias("event"), F.lit(0).alias("n")).cast(state))
-    seen = run.select(*by, "_run", F.aggregate("_run", start, step).alias("seen"))
-    each = seen.select(*by, F.explode(F.zip_with(F.slice("seen", F.lit(2), F.size("_run")), "_run", lambda s, x: F.struct(x["o"].alias(order), s["pause"].alias("pause"), s["event"].alias("event")))).alias("e"))
-    return each.select(*by, "e.*")
+    if not low <= base <= high or not low <= backoff <= high:
+        raise ValueError("low <= base, backoff <= high must hold")
+    f, exact = F.col("_failed"), lambda x: F.lit(x).cast("decimal(20,6)")
+    dealt = scans.deal(df.select(*by, order, F.coalesce(failed.cast("boolean"), F.lit(False)).alias("_failed")), by, [F.col(order)])
+    d = staged(scans.run_lengths(dealt, by, {"_strikes": f, "_calm": ~f}), "streaks")
+    due = ~f & (F.col("_calm") % stable == 0)
+    floor = F.when(f, F.when(F.col("_strikes") >= strikes, exact(high)).otherwise(exact(backoff))).when(due, exact(low))
+    d = scans.max_plus(d, by, F.when(due, -1).otherwise(0), floor, exact(base), "_pause", "_was")
+    now, was = F.col("_pause"), F.col("_was")
+    event = (
+        F.when(f & (now > was), "backoff").when(f, "backoff_held")
+        .when(due & (now < was), "stable_step_down").when(due, "stable_at_min").otherwise("stable_hold")
+    )
+    return d.select(*by, order, now.cast("double").alias("pause"), event.alias("event"))
 
 
 def timing_summary(df: DataFrame, by: list[str], seconds: str, rows: str) -> DataFrame:
     s = F.col(seconds)
-    return df.groupBy(*by).agg(F.count(s).alias("n"), F.avg(s).alias("mean_s"), F.median(s).alias("median_s"), F.min(s).alias("min_s"), F.max(s).alias("max_s"), (F.sum(rows) * 3600.0 / F.sum(s)).alias("rows_per_hour"))
+    each = df.groupBy(*by).agg(F.count(s).alias("n"), F.avg(s).alias("mean_s"), F.min(s).alias("min_s"), F.max(s).alias("max_s"), (F.sum(rows) * 3600.0 / F.sum(s)).alias("rows_per_hour"))
+    return scans.with_medians(each, df, by, seconds, "median_s")
 
 
 def cost_summary(df: DataFrame, by: list[str], parseable: Column, tokens_in: str, tokens_out: str, tokens_all: str, cost: str) -> DataFrame:

@@ -10,17 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.stages import reread, staged
+from ..sources.stages import reread
+from . import scans
 
 W = Window
-_ROW = (1 << 33) - 1  # the part of a generated id that counts a partition's rows
-
-
-def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows sorted in ranges of ``order``, with _p (range) and _r (row in it), written: the ranges are drawn once, whatever reads them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    return staged(rows.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND(F.lit(_ROW))).drop("_m"), "ranked")
 
 
 def _starts(sums: DataFrame) -> DataFrame:
@@ -34,7 +27,7 @@ def running_total(df: DataFrame, order: list[Column], value: Column, name: str)
 
     End the order with a key where rows may tie. The table is written between dealing and summing.
     """
-    dealt = _dealt(df.withColumn("_v", value), order)
+    dealt = scans.deal(df.withColumn("_v", value), [], order)
     starts = _starts(reread(dealt).groupBy("_p").agg(F.sum("_v").alias("_s")))
     local = F.sum("_v").over(W.partitionBy("_p").orderBy("_r").rowsBetween(W.unboundedPreceding, 0))
     return dealt.withColumn("_n", local).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_n")).drop("_p", "_r", "_n", "_v", "_start")
@@ -42,7 +35,7 @@ def running_total(df: DataFrame, order: list[Column], value: Column, name: str)
 
 def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Global row number in a total order: one exchange, no window over rows."""
-    dealt = _dealt(df, order)
+    dealt = scans.deal(df, [], order)
     starts = _starts(reread(dealt).groupBy("_p").agg(F.count("*").alias("_s")))
     return dealt.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_r") + 1).drop("_p", "_r", "_start")
 
@@ -69,12 +62,20 @@ def mid_rank(df: DataFrame, value: str, name: str = "midrank") -> DataFrame:
     return df.join(each, value, "left")
 
 
-def rank_variants(df: DataFrame, key: str, scores: dict[str, Column], ties: list[Column], top: int) -> tuple[DataFrame, DataFrame]:
-    """Ranks under each score, and for the union of the tops: the overlap flag and largest displacement from the first."""
-    out = df
-    for name, s in scores.items():
-        out = position(out, [s.desc(), *ties], f"rank_{name}")
+def rank_variants(df: DataFrame, key: str, scores: dict[str, Column], ties: list[str], top: int) -> tuple[DataFrame, DataFrame]:
+    """Ranks under each score (falling, nulls last; then by ``ties``, rising), and for the union of the tops: the overlap flag and largest displacement from the first.
+
+    All orders are one: rows of (score's number, score as a double, ties) are dealt into ranges once,
+    and a rank is the position in that order less those of the scores before. ``key`` tells rows
+    apart and comes back from the ranks by one join.
+    """
     names = list(scores)
+    which = F.array(*[F.struct(F.lit(i).alias("n"), s.cast("double").alias("s")) for i, s in enumerate(scores.values())])
+    columns = dict.fromkeys([key, *ties])
+    each = df.select(*columns, F.explode(which).alias("_v")).select(*columns, F.col("_v.n").alias("_variant"), F.col("_v.s").alias("_s"))
+    placed = scans.numbered(scans.deal(each, ["_variant"], [F.desc("_s"), *map(F.asc, ties)]), ["_variant"], "_rank")
+    ranked = placed.groupBy(F.col(key).alias("_key")).agg(*[F.max(F.when(F.col("_variant") == i, F.col("_rank"))).alias(f"rank_{n}") for i, n in enumerate(names)])
+    out = df.join(ranked, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     ranks = [F.col(f"rank_{n}") for n in names]
     moved = F.greatest(*[F.abs(r - ranks[0]) for r in ranks[1:]]) if len(ranks) > 2 else F.abs(ranks[1] - ranks[0])
     union = out.filter(F.least(*ranks) <= top).select(key, *ranks, (F.greatest(*ranks) <= top).alias("in_all"), moved.alias("displacement"))
@@ -125,12 +126,7 @@ def top(df: DataFrame, order: list[Column], n: int, name: str = "position") -> D
 
 
 def stop_gate(df: DataFrame, by: list[str], order: str, failed: Column, most: int = 2) -> DataFrame:
-    """Run length of failures at each row, and whether the row comes after the first run of ``most``."""
-    w = W.partitionBy(*by).orderBy(order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    island = F.sum(F.when(~failed, 1).otherwise(0)).over(upto)
-    out = df.withColumn("_f", failed.cast("int")).withColumn("_g", island)
-    run = F.sum("_f").over(W.partitionBy(*by, "_g").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    out = out.withColumn("failures_in_a_row", run)
-    reached = F.max((F.col("failures_in_a_row") >= most).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return out.withColumn("stopped", F.coalesce(reached, F.lit(0)) == 1).drop("_f", "_g")
+    """Run length of failures at each row, and whether the row comes after the first run of ``most``; a scan over ranges, so one key may hold most rows."""
+    dealt = scans.deal(df.withColumn("_failed", failed), by, [F.col(order)])
+    out = scans.run_lengths(dealt, by, {"failures_in_a_row": F.col("_failed")}, most)
+    return out.withColumnRenamed("failures_in_a_row_reached", "stopped").drop("_failed", "_p", "_r")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, smoothed
+from . import scans
 
 
 def counts(df: DataFrame, *by: str) -> DataFrame:
@@ -72,20 +73,20 @@ def fixed_keys(df: DataFrame, by: str, keys: list[str]) -> DataFrame:
 def summary(df: DataFrame, value: str, label: str, *by: str, conditions: dict[str, Column] | None = None) -> DataFrame:
     """Mean, median, maximum, count and conditional counts."""
     v = F.col(value)
-    agg = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max")] + [F.count_if(c).alias(k) for k, c in (conditions or {}).items()]
-    return df.groupBy(*by).agg(*agg).select(F.lit(label).alias("sample"), "*")
+    agg = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max")] + [F.count_if(c).alias(k) for k, c in (conditions or {}).items()]
+    return scans.with_medians(df.groupBy(*by).agg(*agg), df, list(by), value).select(F.lit(label).alias("sample"), "*")
 
 
 def sensitivity(df: DataFrame, value: str, samples: dict[str, Column]) -> DataFrame:
     """Summaries of several filtered samples: each row goes to its samples in one pass, one exchange."""
     member = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in samples.items()]), lambda x: x.isNotNull())
     each = df.select(F.explode(member).alias("sample"), F.col(value).alias("v"))
-    return each.groupBy("sample").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.max("v").alias("max"))
+    return scans.with_medians(each.groupBy("sample").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.max("v").alias("max")), each, ["sample"], "v")
 
 
 def means_of_means(df: DataFrame, value: str, inner: list[str], outer: str) -> DataFrame:
     first = df.groupBy(*inner).agg(F.avg(value).alias("m"))
-    return first.groupBy(outer).agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.median("m").alias("median"))
+    return scans.with_medians(first.groupBy(outer).agg(F.count("*").alias("n"), F.avg("m").alias("mean")), first, [outer], "m")
 
 
 def distinct_text(c: str | Column, sep: str = "; ") -> Column:

@@ -191,7 +191,15 @@ def q_stop_gate(t):
     return ranking.stop_gate(e, ["user_id"], "o", F.col("f")).select("event_id", "failures_in_a_row", "stopped")
 
 
-@query()
+@query("""
+with recursive e as (select user_id % 20 as run, event_id, event_type = 'error' as f, row_number() over (partition by user_id % 20 order by event_id) as n from events),
+s as (select run, 0::bigint as n, null::bigint as event_id, 5.0::double as pause, 0 as calm, 0 as strikes, '' as event from e group by run
+union all select e.run, e.n, e.event_id,
+  case when f then least(15, greatest(pause, case when strikes + 1 >= 2 then 15 else 10 end)) when calm + 1 >= 5 then greatest(3, pause - 1) else pause end::double,
+  case when f or calm + 1 >= 5 then 0 else calm + 1 end, case when f then strikes + 1 else 0 end,
+  case when f and pause < case when strikes + 1 >= 2 then 15 else 10 end then 'backoff' when f then 'backoff_held' when calm + 1 >= 5 and pause > 3 then 'stable_step_down' when calm + 1 >= 5 then 'stable_at_min' else 'stable_hold' end
+from s join e on e.run = s.run and e.n = s.n + 1)
+select run, event_id, pause, event from s where n > 0""")
 def q_pacing(t):
     e = t("events").select((F.col("user_id") % 20).alias("run"), "event_id", F.col("event_type"))
     return ledgers.pacing(e, ["run"], "event_id", F.col("event_type") == "error", stable=5)

@@ -150,7 +150,7 @@ def q_state_pivot(t):
 select c_custkey, r0 as rank_score, r1 as rank_pop_heavier, r2 as rank_yield_heavier, greatest(r0, r1, r2) <= 500 as in_all, greatest(abs(r1 - r0), abs(r2 - r0)) as displacement from k where least(r0, r1, r2) <= 500""")
 def q_rank_variants(t):
     names = ["score", *scoring.PRIORITY_VARIANTS]
-    out = ranking.rank_variants(_priorities(t), "c_custkey", {k: F.round(k, 4) for k in names}, [F.asc("c_custkey")], 500)[1]
+    out = ranking.rank_variants(_priorities(t), "c_custkey", {k: F.round(k, 4) for k in names}, ["c_custkey"], 500)[1]
     return out.select("c_custkey", *[F.col(f"rank_{k}").cast("bigint").alias(f"rank_{k}") for k in names], "in_all", F.col("displacement").cast("bigint").alias("displacement"))
 
 
