@@ -11,32 +11,73 @@ from ..functions import values
 TIERS = ("unmatched", "adjacent", "overlap", "exact")
 
 
-def match_pairs(left: DataFrame, right: DataFrame, entity: str, start: str, end: str, key: str, window: str | None = None, most: int = 730) -> DataFrame:
-    """All pairs of one entity with their tier (1 adjacent, 2 overlap, 3 exact); an equi-join on the entity with the interval test left over."""
+def _cells(span: Column, window: str | None, pad: int, years: int) -> tuple[Column, Column]:
+    """The cells of a span, as texts: its cycle, its window's label, and the ranges of years that it meets when ``pad`` years are added at both ends; and the first such range.
+
+    A span of which a year is unknown has no ranges: only equal cycles or labels match it.
+    """
+    y = [F.coalesce(span[f"y{i}"], F.year(span[f"d{i}"])) for i in (1, 2)]
+    every = [span["y1"], span["y2"], F.year(span["d1"]), F.year(span["d2"])]
+    first, last = (F.floor(e / years).cast("int") for e in (F.least(*every) - pad, F.greatest(*every) + pad))
+    first = F.when(y[0].isNotNull() & y[1].isNotNull(), first)
+    ranges = F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(first, last), lambda k: F.concat(F.lit("y"), k.cast("string"))))
+    named = [F.concat(F.lit("k"), span["key"])] + ([F.concat(F.lit("l"), span["label"])] if window else [])
+    return F.concat(F.array(*named), ranges), first
+
+
+def match_pairs(left: DataFrame, right: DataFrame, entity: str, start: str, end: str, key: str, window: str | None = None, most: int = 730, years: int = 4, block: int = 4096) -> DataFrame:
+    """All pairs of one entity with their tier (1 adjacent, 2 overlap, 3 exact).
+
+    Rows are dealt to cells of their entity: their cycle (and window) for exact matches, and ranges
+    of ``years`` for the others, where the left spans reach ``most`` days further. Cells are joined,
+    and a pair counts in one cell only: the first that both have. A cell with over ``block`` rows of
+    a side is cut into blocks of about that many on either side, each pair of which is a join key of
+    its own, so no task holds an entity. ``key`` tells rows of a side apart; rows without an entity
+    match nothing; all columns of ``right`` travel with it, so select what is needed.
+    """
     span = lambda: values.span(F.col(start), F.col(end), F.col(window) if window else None)
-    a = left.select(F.col(entity).alias("_e"), F.col(key), span().alias("_a"))
-    b = right.select(F.col(entity).alias("_f"), span().alias("_b"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
+    a = left.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(key), span().alias("_a"), F.xxhash64(key).alias("_h"))
+    b = right.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_f"), span().alias("_b"), F.xxhash64(key).alias("_i"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
+    cells, first = _cells(F.col("_a"), window, most // 365 + 1, years)
+    a = a.select("*", first.alias("_p"), F.explode(cells).alias("_c"))
+    cells, first = _cells(F.col("_b"), window, 0, years)
+    b = b.select("*", first.alias("_q"), F.explode(cells).alias("_d"))
+    n, m = a.groupBy("_e", "_c").agg(F.count("*").alias("_n")), b.groupBy(F.col("_f").alias("_e"), F.col("_d").alias("_c")).agg(F.count("*").alias("_m"))
+    large = n.join(m, ["_e", "_c"]).filter(F.greatest("_n", "_m") > block)  # few: each stands for over ``block`` rows
+    large = large.select("_e", "_c", F.ceil(F.col("_n") / block).cast("int").alias("_n"), F.ceil(F.col("_m") / block).cast("int").alias("_m"))
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    a = a.join(large, ["_e", "_c"], "left").withColumn("_x", F.pmod("_h", one("_n"))).withColumn("_y", F.explode(F.sequence(F.lit(0), one("_m") - 1))).drop("_n", "_m", "_h")
+    large = large.select(F.col("_e").alias("_f"), F.col("_c").alias("_d"), "_n", "_m")
+    b = b.join(large, ["_f", "_d"], "left").withColumn("_v", F.pmod("_i", one("_m"))).withColumn("_u", F.explode(F.sequence(F.lit(0), one("_n") - 1))).drop("_n", "_m", "_i")
     x, y = F.col("_a"), F.col("_b")
-    tier = F.when(values.spans_agree(x, y), 3).when(values.spans_meet(x, y), 2).when(values.spans_adjacent(x, y, most), 1).otherwise(0)
-    both = a.join(b, F.col("_e") == F.col("_f")).withColumn("tier", tier)
+    near = F.when(values.spans_meet(x, y), 2).when(values.spans_adjacent(x, y, most), 1).otherwise(0)
+    here = F.col("_d") == F.concat(F.lit("y"), F.greatest("_p", "_q").cast("string"))
+    kind = F.left("_d", F.lit(1))
+    tier = F.when(kind == "k", 3).when(kind == "l", F.when(x["key"] == y["key"], 0).otherwise(3)).otherwise(F.when(here & ~values.spans_agree(x, y), near).otherwise(0))
+    both = a.join(b, (F.col("_e") == F.col("_f")) & (F.col("_c") == F.col("_d")) & (F.col("_x") == F.col("_u")) & (F.col("_y") == F.col("_v"))).withColumn("tier", tier)
     return both.filter("tier > 0").select(key, F.col(f"r_{key}").alias("match_id"), "tier", F.col("_b.key").alias("cycle"), *[f"r_{c}" for c in right.columns if c != key])
 
 
-def match_tiers(left: DataFrame, right: DataFrame, entity: str, start: str, end: str, key: str, classes: str, window: str | None = None, most: int = 730) -> DataFrame:
-    """Each left row with its best tier and, of that tier only: number of matches, ids, classes and cycles (sorted, distinct, joined).
+def match_tiers(left: DataFrame, right: DataFrame, entity: str, start: str, end: str, key: str, classes: str, window: str | None = None, most: int = 730, ids: bool = True) -> DataFrame:
+    """Each left row with its best tier and, of that tier only: number of matches, classes and cycles (sorted, distinct, joined) and, with ``ids``, the ids.
 
-    Days are parsed once a pair; the best tier comes with its rows in one grouped pass (a map from tier to lists), so no pair is joined twice.
+    Without ids, pairs are counted in the map tasks and a row never holds its matches; with them,
+    the best tier comes with its rows in one grouped pass, so no pair is joined twice.
     """
-    pairs = match_pairs(left, right, entity, start, end, key, window, most)
-    best = pairs.groupBy(key).agg(F.max("tier").alias("best"), *[F.sort_array(F.collect_set(F.when(F.col("tier") == t, F.struct("match_id", F.col(f"r_{classes}").alias("c"), F.col("cycle").alias("w"))))).alias(f"t{t}") for t in (1, 2, 3)])
-    at = F.when(F.col("best") == 3, F.col("t3")).when(F.col("best") == 2, F.col("t2")).otherwise(F.col("t1"))
-    words = lambda f: F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("at"), lambda x: x[f]))), "; ")
-    best = best.withColumn("at", at).select(key, "best", F.size("at").alias("n_matches"), words("c").alias("match_classes"), words("w").alias("match_cycles"), F.transform("at", lambda x: x["match_id"]).alias("match_ids"))
+    needed = dict.fromkeys([entity, start, end, *([window] if window else []), key, classes])
+    pairs = match_pairs(left.select(*[c for c in needed if c != classes or c in left.columns]), right.select(*needed), entity, start, end, key, window, most)
+    at = lambda t, c: F.when(F.col("tier") == t, c)
+    listed = F.struct("match_id", F.col(f"r_{classes}").alias("c"), F.col("cycle").alias("w"))
+    agg = {"n": lambda t: F.count_if(F.col("tier") == t), "c": lambda t: F.collect_set(at(t, F.col(f"r_{classes}"))), "w": lambda t: F.collect_set(at(t, F.col("cycle")))}
+    if ids:
+        agg["m"] = lambda t: F.transform(F.sort_array(F.collect_set(at(t, listed))), lambda x: x["match_id"])
+    best = pairs.groupBy(key).agg(F.max("tier").alias("best"), *[F.struct(*[f(t).alias(k) for k, f in agg.items()]).alias(f"t{t}") for t in (1, 2, 3)])
+    best = best.select(key, "best", F.when(F.col("best") == 3, F.col("t3")).when(F.col("best") == 2, F.col("t2")).otherwise(F.col("t1")).alias("at"))
+    words = lambda f: F.coalesce(F.array_join(F.array_sort(F.col("at")[f]), "; "), F.lit(""))
     out = left.select(key).join(best, key, "left")
-    return out.select(
-        key, F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.coalesce("best", F.lit(0)) + 1).alias("tier"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
-        F.coalesce("match_classes", F.lit("")).alias("match_classes"), F.coalesce("match_cycles", F.lit("")).alias("match_cycles"), F.coalesce("match_ids", F.array().cast(best.schema["match_ids"].dataType)).alias("match_ids"),
-    )
+    tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.coalesce("best", F.lit(0)) + 1)
+    listing = [F.coalesce(F.col("at.m"), F.array().cast(f"array<{right.schema[key].dataType.simpleString()}>")).alias("match_ids")] if ids else []
+    return out.select(key, tier.alias("tier"), F.coalesce(F.col("at.n"), F.lit(0)).alias("n_matches"), words("c").alias("match_classes"), words("w").alias("match_cycles"), *listing)
 
 
 def resolve_names(rows: DataFrame, universe: DataFrame, state: str, name_key: str, preferred: Column) -> DataFrame:

@@ -37,7 +37,7 @@ from spans s left join best b on b.k = s.o_orderkey left join pairs p on p.k = b
 where s.class in ('1-URGENT', '2-HIGH') group by all""")
 def q_match_tiers(t):
     a, b = _spans(t)
-    return matching.match_tiers(a, b, "o_custkey", "s", "e", "o_orderkey", "class").drop("match_ids")
+    return matching.match_tiers(a, b, "o_custkey", "s", "e", "o_orderkey", "class", ids=False)
 
 
 @query(_SPANS + """
@@ -53,7 +53,7 @@ select case coalesce(b.t, 0) when 3 then 'exact' when 2 then 'overlap' when 1 th
 from spans s left join best b on b.k = s.o_orderkey where s.class in ('1-URGENT', '2-HIGH') group by 1""")
 def q_unmatched_report(t):
     a, b = _spans(t)
-    return matching.match_tiers(a, b, "o_custkey", "s", "e", "o_orderkey", "class").groupBy("tier").agg(F.count("*").alias("n"))
+    return matching.match_tiers(a, b, "o_custkey", "s", "e", "o_orderkey", "class", ids=False).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @query("""
