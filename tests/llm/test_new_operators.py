@@ -174,3 +174,40 @@ def test_audit_equals_the_plain_replay(spark, monkeypatch):
 def test_audit_of_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert filter_audit.audit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
+
+
+def test_personal_data_in_long_texts_takes_linear_time(spark):
+    from strandline.llm import pii
+
+    import time
+
+    crf = pii.Crf().train(pii.labelled_table())
+    line = "some words here jane(at)acme.net and more"
+    text = "\n".join([line] * 100_000 + ["a@b.example"] * 1000)
+    began = time.perf_counter()
+    [(base, added)] = pii.find_spans([text], crf)
+    assert time.perf_counter() - began < 60
+    assert len(base) == 1000 and [text[s:e] for s, _, e in added] == ["jane(at)acme.net"] * 100_000
+    assert pii.features("x-" * 5000 + "@")[6] == "last=@" and pii.features("x-" * 5000 + "@")[4] == "at=1"
+
+
+def test_what_the_model_adds_can_be_such_data(spark):
+    from strandline.llm import pii
+
+    kinds = {k: i for i, k in enumerate(pii.LABELS)}
+    for found, kind, ok in [
+        ("jane(at)acme.net", "EMAIL", True), ("jane at acme dot org", "EMAIL", True), ("and at at", "EMAIL", False), ("at at dot com", "EMAIL", False), ("jane at acme", "EMAIL", False),
+        ("1[.]2[.]3[.]4", "IP", True), ("1.2.3.400", "IP", False), ("4111.1111.1111.1111", "CARD", True), ("4111111111111112", "CARD", False), ("555-010-2345", "PHONE", True), ("55", "PHONE", False),
+    ]:
+        assert pii.well_formed(kinds[kind], found) is ok, found
+    spans = [(0, 0, 50), (3, 1, 9), (60, 2, 70)]
+    t = pii.Taken(spans)
+    for s in range(80):
+        for e in range(s + 1, 81):
+            assert t.meets(s, e) == any(a < e and s < b for a, _, b in spans)
+    held = pii.labelled_table(600, seed=77)
+    crf = pii.Crf().train(pii.labelled_table())
+    gold = [x for _, labels in held for x in labels]
+    got = [pii.LABELS[k] for labels in crf.decode([w for w, _ in held]) for k in labels]
+    right = sum(x == y != "O" for x, y in zip(gold, got))
+    assert right / sum(y != "O" for y in got) > 0.9 and right / sum(x != "O" for x in gold) > 0.9
