@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clauses, nested, strings, values
-from ..operators import evidence, matching, ranking
+from ..operators import evidence, matching, quotes, ranking
 from .registry import query
 
 
@@ -118,20 +118,7 @@ def q_clause_scan(t):
 @query("""
 select doc_id, item_id from documents d, benchmark b where len(b.text) >= 15 and contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))""")
 def q_verbatim(t):
-    """Benchmark passages in documents: their opening words find the pairs by an equi-join, the guard verifies them.
-
-    The first and last word of a quote can be parts of words, so quotes under six words hold no four whole ones: they meet every text.
-    """
-    words = lambda c: F.split(F.lower(strings.squeeze(c)), " ")
-    b = t("benchmark").select("item_id", F.col("text").alias("quote")).filter(F.length("quote") >= 15)
-    few = b.filter(F.size(words(F.col("quote"))) < 6)
-    b = b.filter(F.size(words(F.col("quote"))) >= 6).withColumn("k", F.array_join(F.slice(words(F.col("quote")), 2, 4), " "))
-    d = t("documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    at = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
-    pairs = at.join(b.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    found = pairs.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "quote"), "item_id")
-    short = d.select("doc_id", "text").join(few, clauses.is_verbatim(F.col("quote"), F.col("text")))
-    return found.filter(clauses.is_verbatim(F.col("quote"), F.col("text"))).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
+    return quotes.quotes_in(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
 
 
 @query("""
