@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scans
 from .scoring import evidence_status
 
 
@@ -33,10 +34,11 @@ def default_view(df: DataFrame, chosen: dict[str, str] | None = None, search: st
     return df.filter(keep)
 
 
-def ordered_context(df: DataFrame, by: str, primary: Column, key: str, label: Column, sep: str = "; ") -> DataFrame:
-    """One text per group: labels with the primary first, then by key."""
-    listed = F.array_sort(F.collect_list(F.struct((~primary).alias("later"), F.col(key).alias("k"), label.alias("t"))))
-    return df.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["t"]), sep).alias("context"))
+def ordered_context(df: DataFrame, by: str, primary: Column, key: str, label: Column, sep: str = "; ", size: int = 10_000) -> DataFrame:
+    """Labels of each group as texts of up to ``size`` labels (part 1, 2, ...), the primary first, then by key."""
+    rows = df.select(by, (~primary).alias("_later"), F.col(key).alias("_k"), label.alias("_t"))
+    lists = scans.chunked_lists(rows, [by], [F.col("_later"), F.col("_k"), F.col("_t")], F.col("_t"), size)
+    return lists.select(by, "part", F.array_join("items", sep).alias("context"))
 
 
 def forbidden_terms(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clauses import any_term
 from ..functions.strings import blank, urls_in
 from ..functions.values import bands
+from . import scans
 
 # Filters.
 
@@ -101,10 +102,14 @@ def extrapolated(df: DataFrame, by: str, cost: str, seconds: str, parsed: Column
     )
 
 
-def action_summary(plan: DataFrame, key: str, action: str, order: str) -> DataFrame:
-    """A row per action: its rows, and their non-blank keys in order."""
-    listed = F.array_sort(F.collect_list(F.when(~blank(F.trim(F.col(key).cast("string"))), F.struct(order, F.col(key).alias("_k")))))
-    return plan.groupBy(action).agg(F.count("*").alias("n"), F.transform(listed, lambda x: x["_k"]).alias("keys"))
+def action_summary(plan: DataFrame, key: str, action: str, order: str, size: int = 10_000) -> DataFrame:
+    """Each action with its number of rows and their non-blank keys in order, ``size`` of them a row (part 1, 2, ...); an action without keys has one row."""
+    n = plan.groupBy(action).agg(F.count("*").alias("n"))
+    told = plan.filter(~blank(F.trim(F.col(key).cast("string")))).select(action, F.col(order).alias("_o"), F.col(key).alias("_k"))
+    lists = scans.chunked_lists(told.withColumnRenamed(action, "_action"), ["_action"], [F.col("_o"), F.col("_k")], F.col("_k"), size, "keys")
+    none = F.array().cast(lists.schema["keys"].dataType)
+    both = n.join(lists, F.col(action).eqNullSafe(F.col("_action")), "left")
+    return both.select(action, "n", F.coalesce("part", F.lit(1)).alias("part"), F.coalesce("keys", none).alias("keys"))
 
 
 def evidence_counts(df: DataFrame, status: str, verified: Column, flagged: Column, labelled: Column) -> DataFrame:

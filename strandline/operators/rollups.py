@@ -133,9 +133,10 @@ def facets(df: DataFrame, columns: list[str], chosen: dict[str, str]) -> DataFra
     return each.groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
-def inverted(pairs: DataFrame, key: str, items: str, item: str) -> DataFrame:
-    """Rows of (key, list) as rows of (item, sorted keys)."""
-    return pairs.select(key, F.explode(items).alias(item)).groupBy(item).agg(F.array_sort(F.collect_set(key)).alias(f"{key}s"))
+def inverted(pairs: DataFrame, key: str, items: str, item: str, size: int = 10_000) -> DataFrame:
+    """Rows of (key, list) as rows of (item, part, sorted distinct keys), ``size`` keys a part."""
+    each = pairs.filter(F.col(key).isNotNull()).select(key, F.explode(items).alias(item)).distinct()
+    return scans.chunked_lists(each, [item], [F.col(key)], F.col(key), size, f"{key}s")
 
 
 def sets_by_condition(df: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:

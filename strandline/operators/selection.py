@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import blank
+from . import rollups
 from .ranking import position
 
 
@@ -138,8 +139,9 @@ def crosswalk(candidates: list[tuple[str, DataFrame]], left: str, right: str, fa
 
 
 def run_inverted(runs: DataFrame, run: str, ids: str, key: str) -> DataFrame:
-    """(run, map or list of ids) as (id, sorted runs)."""
-    return runs.select(run, F.explode(ids).alias(key)).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(run)), "; ").alias("runs"))
+    """(run, map or list of ids) as (id, part, sorted runs), 10,000 runs a part."""
+    lists = rollups.inverted(runs, run, ids, key)
+    return lists.select(key, "part", F.array_join(f"{run}s", "; ").alias("runs"))
 
 
 def response_rows(df: DataFrame, response: str, complete: str) -> DataFrame:

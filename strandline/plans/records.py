@@ -80,11 +80,14 @@ def q_extrapolated(t):
     return out.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("total_cost", "parsed_seconds", "estimated_cost", "estimated_seconds")])
 
 
-@query("select action, count(*) as n, string_agg(k, ';' order by o_orderkey) as keys from (select o_orderkey, case when o_orderkey % 3 = 0 then 'skip' else 'run' end as action, case when o_orderkey % 5 <> 0 then o_orderkey::varchar end as k from orders) group by 1")
+@query("""
+with p as (select o_orderkey, case when o_orderkey % 3 = 0 then 'skip' else 'run' end as action, case when o_orderkey % 5 <> 0 then o_orderkey::varchar end as k from orders),
+k as (select *, ((row_number() over (partition by action order by o_orderkey) - 1) // 10000 + 1)::int as part from p where k is not null)
+select action, n, coalesce(part, 1) as part, coalesce(keys, '') as keys from (select action, count(*) as n from p group by 1) left join (select action, part, string_agg(k, ';' order by o_orderkey) as keys from k group by 1, 2) using (action)""")
 def q_action_summary(t):
     k = F.col("o_orderkey")
     plan = t("orders").select("o_orderkey", F.when(k % 3 == 0, "skip").otherwise("run").alias("action"), F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("id"))
-    return records.action_summary(plan, "id", "action", "o_orderkey").select("action", "n", F.array_join("keys", ";").alias("keys"))
+    return records.action_summary(plan, "id", "action", "o_orderkey").select("action", "n", "part", F.array_join("keys", ";").alias("keys"))
 
 
 @query("""
@@ -428,6 +431,8 @@ def q_group_scores(t):
     return s.join(first, "c_nationkey")
 
 
-@query("select c_nationkey, string_agg(c_custkey::varchar, ' | ' order by c_acctbal <= 9000, c_custkey) as context from customer group by 1")
+@query("""
+select c_nationkey, part, string_agg(c_custkey::varchar, ' | ' order by c_acctbal <= 9000, c_custkey) as context
+from (select *, ((row_number() over (partition by c_nationkey order by c_acctbal <= 9000, c_custkey) - 1) // 10000 + 1)::int as part from customer) group by 1, 2""")
 def q_long_context(t):
     return evidence.ordered_context(t("customer"), "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey", F.col("c_custkey").cast("string"), " | ")

@@ -274,7 +274,9 @@ def q_timing_summary(t):
     return _r(out, "mean_s", "median_s", "min_s", "max_s", "rows_per_hour")
 
 
-@query("select c_nationkey, string_agg(c_custkey::varchar || ' ' || c_mktsegment, '; ' order by c_acctbal <= 9000, c_custkey) as context from customer group by 1")
+@query("""
+select c_nationkey, part, string_agg(c_custkey::varchar || ' ' || c_mktsegment, '; ' order by c_acctbal <= 9000, c_custkey) as context
+from (select *, ((row_number() over (partition by c_nationkey order by c_acctbal <= 9000, c_custkey) - 1) // 10000 + 1)::int as part from customer) group by 1, 2""")
 def q_hints(t):
     c = t("customer")
     return evidence.ordered_context(c, "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey", F.concat_ws(" ", "c_custkey", "c_mktsegment"))

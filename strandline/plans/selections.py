@@ -40,7 +40,9 @@ def q_success_ledger(t):
     return selection.success_ledger(e.select("user_id", "run", "day").distinct(), e.filter("event_type = 'error'"), "user_id", "run", "day")
 
 
-@query("select event_type, string_agg(distinct 'u' || user_id::varchar, '; ' order by 'u' || user_id::varchar) as runs from events group by 1")
+@query("""
+with e as (select distinct event_type, 'u' || user_id::varchar as run from events), p as (select *, ((row_number() over (partition by event_type order by run) - 1) // 10000 + 1)::int as part from e)
+select event_type, part, string_agg(run, '; ' order by run) as runs from p group by 1, 2""")
 def q_inverted_runs(t):
     per = t("events").groupBy(F.concat(F.lit("u"), "user_id").alias("run")).agg(F.collect_set("event_type").alias("ids"))
     return selection.run_inverted(per, "run", "ids", "event_type")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import values
-from strandline.operators import checks, evidence, ledgers, matching, ranking, rollups, scoring
+from strandline.operators import checks, evidence, ledgers, matching, ranking, records, rollups, scoring
 from strandline.sources import commits, sinks, tables
 from strandline.streaming import ledgers as streams
 
@@ -75,7 +75,11 @@ def test_rollups(spark):
     assert rows(rollups.rollup_through(dim, "k", links, spark.createDataFrame([(1, 10), (2, 20)], "f int, w int"), "f", {"w": F.sum("w")})) == [("a", 30), ("b", 10), ("c", 0)]
     e = rollups.facets(spark.createDataFrame([("x", "p"), ("x", "q"), ("y", "p")], "a string, b string"), ["a", "b"], {"a": "x"})
     assert rows(e) == [("a", "x", 2), ("a", "y", 1), ("b", "p", 1), ("b", "q", 1)]
-    assert rows(rollups.inverted(spark.createDataFrame([("r1", ["x", "y"]), ("r2", ["x"])], "r string, l array<string>"), "r", "l", "i")) == [("x", ["r1", "r2"]), ("y", ["r1"])]
+    assert rows(rollups.inverted(spark.createDataFrame([("r1", ["x", "y"]), ("r2", ["x"])], "r string, l array<string>"), "r", "l", "i")) == [("x", 1, ["r1", "r2"]), ("y", 1, ["r1"])]
+    many = spark.range(25).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("r"), F.array(F.lit("x")).alias("l"))
+    assert [len(r["rs"]) for r in rollups.inverted(many, "r", "l", "i", size=10).orderBy("part").collect()] == [10, 10, 5]
+    plan = records.action_summary(spark.createDataFrame([(i, "run" if i % 2 else "skip", None if i % 2 == 0 else f"k{i}") for i in range(9)], "o int, a string, k string"), "k", "a", "o", size=3)
+    assert rows(plan) == [("run", 4, 1, ["k1", "k3", "k5"]), ("run", 4, 2, ["k7"]), ("skip", 5, 1, [])]
 
 
 def test_scores(spark):
