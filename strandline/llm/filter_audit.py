@@ -102,6 +102,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = staged(flags(docs), "audit-flags")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
     told = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    least, told = staged(least, "audit-least"), staged(told, "audit-labels")  # so that the joins have exchanges of their own, whose hot keys are split
     marked = rows.join(least, "digest", "left").join(told, "doc_id", "left")
     repeat = F.when(F.col("doc_id") > F.col("least"), 1 << 4).otherwise(0)
     no = F.lit(False)
