@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ _KEEP = 400_000
 _COUNTS = pa.schema([("key", pa.binary()), ("grp", pa.int32()), ("n", pa.int64())])
 _CODED = pa.schema([("i", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("codes", pa.binary()), ("key", pa.binary()), ("grp", pa.int32()), ("n", pa.int64())])
 _SCORED = pa.schema([("i", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("k", pa.int64()), ("b", pa.float64()), ("s", pa.float64())])
-_SENT = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+_SENT = pa.schema([("strand", pa.int64()), ("bucket", pa.int32()), ("side", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+_SENT_SQL = "strand long, bucket int, side int, at binary, n binary"
 _SHARE = 1024  # units whose contexts are gathered together
+_FAN = 32  # tasks whose contexts are added up at once
 
 
 def key_of(word: bytes) -> bytes:
@@ -142,31 +145,48 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], onto: np.ndarray, n: int) ->
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], cls: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (unit, class to its right) and (unit, class to its left), packed by share of the units."""
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=1).compress
+    """Counts of (unit, class to its right) and (unit, class to its left), packed by share of the units; strand: the task."""
+    strand = TaskContext.get().partitionId()
     for u in _streams(batches, len(cls) - 1):
-        g, rows = cls[u].astype(np.int64), ([], [], [], [])
+        g, rows = cls[u].astype(np.int64), []
         for side, x in enumerate((u[:-1].astype(np.int64) * k + g[1:], u[1:].astype(np.int64) * k + g[:-1])):
             at, n = np.unique(x.astype(np.uint32) if len(cls) * k < 1 << 32 else x, return_counts=True)
             share = at // (_SHARE * k)
             edges = np.flatnonzero(np.r_[True, share[1:] != share[:-1], True])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                steps = np.diff(at[lo:hi].astype(np.int64), prepend=int(share[lo]) * _SHARE * k).astype(np.uint32)
-                for column, v in zip(rows, (int(share[lo]), side, press(steps.tobytes()), press(n[lo:hi].astype(np.uint32).tobytes())), strict=True):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SENT.types, strict=True)], schema=_SENT)
+                rows.append((strand, int(share[lo]), side, *_packed(at[lo:hi].astype(np.int64) - int(share[lo]) * _SHARE * k, n[lo:hi])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SENT.types, strict=True)], schema=_SENT)
+
+
+def _packed(at: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    return press(np.diff(at, prepend=0).astype(np.uint32).tobytes()), press(n.astype(np.int64).tobytes())
+
+
+def _summed(table: pa.Table, k: int) -> np.ndarray:
+    """Counts of one share of the units, two sides, from packed ones."""
+    import zstandard
+
+    loosen, total = zstandard.ZstdDecompressor().decompress, np.zeros((2, _SHARE * k), dtype=np.int64)
+    for side, at, n in zip(table.column("side").to_pylist(), table.column("at"), table.column("n"), strict=True):
+        total[side][np.cumsum(np.frombuffer(loosen(at.as_py()), dtype=np.uint32).astype(np.int64))] += np.frombuffer(loosen(n.as_py()), dtype=np.int64)
+    return total
+
+
+def _add_up(key: tuple, table: pa.Table, k: int) -> pa.Table:
+    """The packed counts of one share from up to _FAN strands, as those of one strand."""
+    strand, bucket = key[0].as_py(), key[1].as_py()
+    rows = [(strand, bucket, side, *_packed(at, x[at])) for side, x in enumerate(_summed(table, k)) if len(at := np.flatnonzero(x))]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _SENT.types, strict=True)], schema=_SENT)
 
 
 def _gather(table: pa.Table, cls: np.ndarray, k: int) -> pa.Table:
     """The summed contexts of one share of the units, and what they add to the counts of class pairs."""
     import zstandard
 
-    loosen, bucket = zstandard.ZstdDecompressor().decompress, table.column("bucket")[0].as_py()
-    total, m = np.zeros((2, _SHARE * k), dtype=np.int64), np.zeros((k, k), dtype=np.int64)
-    for side, at, n in zip(table.column("side").to_pylist(), table.column("at"), table.column("n"), strict=True):
-        total[side][np.cumsum(np.frombuffer(loosen(at.as_py()), dtype=np.uint32).astype(np.int64))] += np.frombuffer(loosen(n.as_py()), dtype=np.uint32)
+    bucket, total, m = table.column("bucket")[0].as_py(), _summed(table, k), np.zeros((k, k), dtype=np.int64)
     own = cls[bucket * _SHARE : (bucket + 1) * _SHARE]
     np.add.at(m, own, total[0].reshape(_SHARE, k)[: len(own)])
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())], "m": [m.tobytes()]})
@@ -225,13 +245,18 @@ def cluster(coded: DataFrame, n_head: int, group_of_head: np.ndarray, classes: i
     onto = np.concatenate([np.where(np.arange(n_head) < leads, np.arange(n_head), leads + group_of_head), leads + np.arange(ENDINGS + 1)]).astype(np.int64)
     n_lead = leads + ENDINGS + 1
     texts = coded.filter("key is null and not held_out").select("codes")
+    n_tasks = texts.rdd.getNumPartitions()
     pairs, shared = np.zeros((n_lead, n_lead)), spark.sparkContext.broadcast(onto)
     found = texts.mapInArrow(lambda b: _count_pairs(b, shared.value, n_lead), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs.ravel()[found["pair"].to_numpy()] = found["n"].to_numpy()
     cls, best = exchange_clusters(pairs, classes)[onto], None
     for sweep in range(SWEEPS + 1):
         given = spark.sparkContext.broadcast(cls)
-        sent = texts.mapInArrow(lambda b: _contexts(b, given.value, classes), "bucket int, side int, at binary, n binary")  # noqa: B023
+        sent = texts.mapInArrow(lambda b: _contexts(b, given.value, classes), _SENT_SQL)  # noqa: B023
+        strands = n_tasks
+        while strands > _FAN:  # no task gets more than _FAN tasks' contexts of a share, however large the corpus
+            sent = sent.groupBy(F.floor(F.col("strand") / _FAN).alias("_up"), F.col("bucket").alias("_of")).applyInArrow(lambda key, t: _add_up(key, t, classes), _SENT_SQL)
+            strands = -(-strands // _FAN)
         held = staged(sent.groupBy("bucket").applyInArrow(lambda t: _gather(t, given.value, classes), "bucket int, counts binary, m binary"), "brown-contexts")  # noqa: B023
         m = np.zeros((classes, classes))
         for r in held.select("m").collect():

@@ -211,3 +211,19 @@ def test_what_the_model_adds_can_be_such_data(spark):
     got = [pii.LABELS[k] for labels in crf.decode([w for w, _ in held]) for k in labels]
     right = sum(x == y != "O" for x, y in zip(gold, got))
     assert right / sum(y != "O" for y in got) > 0.9 and right / sum(x != "O" for x in gold) > 0.9
+
+
+def test_contexts_of_many_tasks_are_added_in_levels(spark, monkeypatch):
+    import random
+
+    from strandline.llm import brown_lm
+
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(80))) for i in range(400)], "doc_id long, text string")
+    got = []
+    for fan in (32, 2):
+        monkeypatch.setattr(brown_lm, "_FAN", fan)
+        told = {}
+        rows = brown_lm.score_documents(docs.repartition(9, "doc_id"), told=told).collect()
+        got.append((sorted((r["doc_id"], r["score"]) for r in rows), told["m"].tolist(), told["cls"].tolist()))
+    assert got[0] == got[1]
