@@ -15,17 +15,13 @@ _open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, a local master falls back to /tmp/checkpoints and any other
-    master to the warehouse, which a cluster shares as well.
-    """
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a local master uses /tmp/checkpoints and any other raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 @contextmanager

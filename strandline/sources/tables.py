@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import io
 import re
+import struct
+import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
@@ -67,20 +73,69 @@ def read_json(spark: SparkSession, path: str, schema: str, strict: bool = False)
     return df
 
 
+class _Inflated(io.RawIOBase):
+    """A member's bytes as they are inflated, a piece at a time; its checksum is compared at the end."""
+
+    def __init__(self, data: bytes, method: int, crc: int):
+        self.data, self.at, self.left, self.crc, self.want = data, 0, b"", 0, crc
+        self.inflate = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while not self.left and self.at < len(self.data):
+            piece = self.data[self.at : self.at + (1 << 16)]
+            self.at += len(piece)
+            self.left = self.inflate.decompress(piece) if self.inflate else piece
+            if self.at >= len(self.data) and self.inflate:
+                self.left += self.inflate.flush()
+            self.crc = zlib.crc32(self.left, self.crc)
+        n = min(len(room), len(self.left))
+        room[:n], self.left = self.left[:n], self.left[n:]
+        if not n and len(room) and self.crc != self.want:
+            raise zipfile.BadZipFile("bad CRC-32")
+        return n
+
+
+def zip_members(spark: SparkSession, path: str, member: str = ".*") -> DataFrame:
+    """(archive, member, method, crc, data) of ZIP archives: the packed bytes of every member, dealt to a task each as far as there are tasks.
+
+    Archives are read by Spark's own reader, so any store will do; an archive is a row of up to 2 GB there.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, raw in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for m in z.infolist():
+                        if not re.fullmatch(member, m.filename):
+                            continue
+                        if m.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) and not m.flag_bits & 1:
+                            name, extra = struct.unpack("<HH", raw[m.header_offset + 26 : m.header_offset + 30])
+                            start = m.header_offset + 30 + name + extra
+                            row = (m.compress_type, m.CRC, raw[start : start + m.compress_size])
+                        else:  # other methods are unpacked here
+                            row = (zipfile.ZIP_STORED, m.CRC, z.read(m))
+                        yield pd.DataFrame([(archive, m.filename, *row)], columns=["archive", "member", "method", "crc", "data"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(cut, "archive string, member string, method int, crc long, data binary").repartition(n, "archive", "member")
+
+
 def read_zipped(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", member: str = r".*\.txt", encoding: str = "utf-8") -> DataFrame:
-    """Delimited text inside ZIP archives (one archive a task); header names trimmed, all columns text."""
+    """Delimited text inside ZIP archives, a member a task; header names trimmed, the named columns only, all text; blanks are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for raw in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for name in z.namelist():
-                        if re.fullmatch(member, name):
-                            for part in pd.read_csv(z.open(name), sep=sep, dtype=str, encoding=encoding, keep_default_na=False, chunksize=50_000):
-                                part.columns = [c.strip() for c in part.columns]
-                                yield part[columns].apply(lambda c: c.str.strip()).replace("", None)
+            for data, method, crc in zip(batch["data"], batch["method"], batch["crc"], strict=True):
+                text = io.TextIOWrapper(io.BufferedReader(_Inflated(data, method, crc)), encoding)
+                for part in pd.read_csv(text, sep=sep, dtype=str, keep_default_na=False, chunksize=50_000, usecols=lambda c: c.strip() in columns):
+                    part.columns = [c.strip() for c in part.columns]
+                    yield part[columns].apply(lambda c: c.str.strip()).replace("", None)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+    return zip_members(spark, path, member).mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
 
 
 def read_sheet(spark: SparkSession, path: str, columns: list[str], sheet: str = "xl/worksheets/sheet1.xml") -> DataFrame:
