@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.matching import newer_wins
+from ..operators.ranking import first_per_key
 from .sinks import _fs
 from .stages import release, staged
 
@@ -81,7 +82,7 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
 
 
 def upsert(df: DataFrame, root: str, keys: list[str], sequence: str | None = None, batch: tuple[str, int] | None = None, buckets: int = 64, tries: int = 100) -> int:
-    """New rows win by key (of a repeated key the last in ``sequence``); returns the version that holds them.
+    """New rows win by key; returns the version that holds them. With ``sequence`` the row that is last in it wins, new or old, so late batches undo nothing.
 
     ``batch``: name of a source and rising number; a number that is not above the source's last one
     has been applied and changes nothing. Only buckets that hold a new row are read and written.
@@ -102,7 +103,7 @@ def upsert(df: DataFrame, root: str, keys: list[str], sequence: str | None = Non
             if head and batch and head["batches"].get(batch[0], -1) >= batch[1]:
                 return head["version"]
             if made is None or _overlap(spark, root, seen, head, set(touched)):
-                made, schema = _merge(spark, root, head, new, keys, touched)
+                made, schema = _merge(spark, root, head, new, keys, touched, sequence)
             nothing = {"version": 0, "keys": keys, "buckets": n, "data": {}, "batches": {}}
             base = head or nothing
             text = base | {"version": base["version"] + 1, "schema": schema, "data": base["data"] | made, "touched": touched, "batches": base["batches"] | ({batch[0]: batch[1]} if batch else {})}
@@ -120,12 +121,16 @@ def _overlap(spark: SparkSession, root: str, seen: dict | None, head: dict | Non
     return any(touched & set(e["touched"]) for e in since) or bool(since) and since[-1]["schema"] != (seen or {}).get("schema")
 
 
-def _merge(spark: SparkSession, root: str, head: dict | None, new: DataFrame, keys: list[str], touched: list[str]) -> tuple[dict[str, str], dict]:
+def _merge(spark: SparkSession, root: str, head: dict | None, new: DataFrame, keys: list[str], touched: list[str], sequence: str | None) -> tuple[dict[str, str], dict]:
     """Write the touched buckets anew; their folders and the schema."""
     rows = new
     if head:
         old = _rows(spark, root, head, touched).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(head["buckets"])).cast("int"))
-        rows = old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+        if sequence:
+            both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+            rows = first_per_key(both, keys, [F.desc(sequence), F.desc("_new")]).drop("_new")
+        else:
+            rows = old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
     folder = f"data/{uuid.uuid4().hex}"
     if touched:
         rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{root}/{folder}")

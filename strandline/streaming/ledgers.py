@@ -16,9 +16,10 @@ from ..sources import commits
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 
-def upsert_stream(stream: DataFrame, root: str, keys: list[str], checkpoint: str, sequence: str | None = None):
-    """Keep a committed table (commits.read()) at the newest row of each key; a batch that is repeated after a failure changes nothing, and other writers may commit meanwhile."""
-    return stream.writeStream.foreachBatch(lambda rows, n: commits.upsert(rows, root, keys, sequence, (checkpoint, n))).option("checkpointLocation", checkpoint).start()
+def upsert_stream(stream: DataFrame, root: str, keys: list[str], checkpoint: str, sequence: str | None = None, once: bool = False):
+    """Keep a committed table (commits.read()) at the newest row of each key; a batch that is repeated after a failure changes nothing, and other writers may commit meanwhile. ``once``: stop when all that is there has been taken."""
+    out = stream.writeStream.foreachBatch(lambda rows, n: commits.upsert(rows, root, keys, sequence, (checkpoint, n))).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

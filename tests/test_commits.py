@@ -21,13 +21,15 @@ def test_versions_batches_and_columns(spark, tmp_path):
     first = spark.createDataFrame([(i, f"a{i}", i) for i in range(40)] + [(3, "late", 99)], "k int, v string, seq int")
     assert commits.upsert(first, root, ["k"], "seq", ("s", 0), buckets=8) == 1
     assert table(spark, root)[3] == ("late",) and len(table(spark, root)) == 40
-    more = spark.createDataFrame([(3, "b", 1), (77, "b", 1)], "k int, v string, seq int").withColumn("extra", F.lit(1.5))
+    more = spark.createDataFrame([(3, "b", 100), (77, "b", 1)], "k int, v string, seq int").withColumn("extra", F.lit(1.5))
     assert commits.upsert(more, root, ["k"], "seq", ("s", 1)) == 2
     assert commits.upsert(more, root, ["k"], "seq", ("s", 1)) == 2 and commits.upsert(first, root, ["k"], "seq", ("s", 0)) == 2  # applied before
     assert commits.upsert(more.limit(0), root, ["k"], "seq", ("other", 0)) == 3
     now = commits.read(spark, root)
     assert now.columns == ["k", "v", "seq", "extra"] and now.count() == 41 and table(spark, root)[3] == ("b",)
     assert table(spark, root, 1)[3] == ("late",)
+    late = spark.createDataFrame([(3, "old news", 50)], "k int, v string, seq int")
+    assert commits.upsert(late, root, ["k"], "seq") == 4 and table(spark, root)[3] == ("b",)
     e1, e2 = commits.entry(spark, root, 1), commits.entry(spark, root, 2)
     assert 0 < len(e2["touched"]) <= 2 and sum(e1["data"][b] != e2["data"][b] for b in e1["data"]) <= 2  # other buckets stay
     commits.vacuum(spark, root, keep=1)
