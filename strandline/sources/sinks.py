@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from html import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,16 @@ def documents(df: DataFrame, key: str, body: list[Column], metadata: dict[str, s
     return df.select(key, F.to_json(F.struct(meta, *body)).alias("json"))
 
 
+def html(df: DataFrame, most: int = 200, caption: str = "") -> str:
+    """A small result as an HTML table, escaped (an error over ``most`` rows)."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows")
+    cells = lambda tag, row: "<tr>" + "".join(f"<{tag}>{escape('' if c is None else str(c))}</{tag}>" for c in row) + "</tr>"
+    title = f"<caption>{escape(caption)}</caption>" if caption else ""
+    return "\n".join([f"<table>{title}", "<thead>", cells("th", df.columns), "</thead>", "<tbody>", *[cells("td", r) for r in rows], "</tbody>", "</table>"])
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table (an error over ``most`` rows)."""
     rows = df.limit(most + 1).collect()
