@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: What an unknown character costs below the worst piece.
 UNKNOWN = 10.0
+WINDOW = 1 << 20  # characters that are parted into words at once
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())])
 
 
@@ -51,47 +52,57 @@ class ViterbiCounter:
             if len(piece) == 1:
                 self.single.add(piece)
         self.tree.make_automaton()
+        self.longest = max((len(p) for p, _ in vocab), default=1)
         self.unknown = min(s for _, s in vocab) - UNKNOWN
         self.cache: dict[str, tuple[int, float]] = {}
         self.keep = keep
 
     def _word(self, word: str) -> tuple[int, float]:
-        n = len(word)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        done, unknown, single = [False] * (n + 1), self.unknown, self.single
-        done[0] = True
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, value in self.tree.iter(word):
-            ends[end].append(value)
-        for e in range(1, n + 1):
-            for size, score in ends[e - 1]:
-                s = e - size
+        """(pieces, score) of a word of any length, keeping states of the longest piece's characters only."""
+        room, unknown, single = self.longest + 1, self.unknown, self.single
+        best, count = [0.0] * room, [0] * room  # of the prefix of each length, modulo room
+        found = self.tree.iter(word)
+        end, value = next(found, (-1, None))
+        for e, c in enumerate(word, 1):
+            top, pieces = None, 0
+            while end == e - 1:
+                size, score = value
+                s = (e - size) % room
                 total = score + best[s]
-                if not done[e] or total > best[e]:
-                    best[e], count[e], done[e] = total, count[s] + 1, True
-            if (c := word[e - 1]) not in single:
-                total = unknown + best[e - 1]
-                if not done[e] or total > best[e]:
-                    best[e], count[e], done[e] = total, count[e - 1] + len(c.encode("utf-8", "surrogatepass")), True
-        return count[n], best[n]
+                if top is None or total > top:
+                    top, pieces = total, count[s] + 1
+                end, value = next(found, (-1, None))
+            if c not in single:
+                s = (e - 1) % room
+                total = unknown + best[s]
+                if top is None or total > top:
+                    top, pieces = total, count[s] + len(c.encode("utf-8", "surrogatepass"))
+            best[e % room], count[e % room] = top, pieces
+        return count[len(word) % room], best[len(word) % room]
 
     def text(self, text: str) -> tuple[int, int, float]:
         """(tokens, marked words, score): each space becomes a mark, one more stands before the text, words start at marks."""
-        parts = text.replace(MARK, " ").split(" ")
-        if parts[0] == "":
-            parts.pop(0)
-        cache, tokens, score = self.cache, 0, 0.0
-        if len(cache) > self.keep:
-            cache.clear()
-        for p in parts:
-            x = cache.get(p)
-            if x is None:
-                x = self._word(MARK + p)
-                if len(p) < 64:
-                    cache[p] = x
-            tokens += x[0]
-            score += x[1]
-        return tokens, len(parts), score
+        cache, tokens, words, score, at = self.cache, 0, 0, 0.0, 0
+        if text[:1] in (" ", MARK):
+            at = 1  # the mark before the text is this one
+        elif not text:
+            return 0, 0, 0.0
+        while at <= len(text):
+            cut = min((k for k in (text.find(" ", at + WINDOW), text.find(MARK, at + WINDOW)) if k >= 0), default=len(text))
+            parts = text[at:cut].replace(MARK, " ").split(" ")
+            at = cut + 1
+            if len(cache) > self.keep:
+                cache.clear()
+            for p in parts:
+                x = cache.get(p)
+                if x is None:
+                    x = self._word(MARK + p)
+                    if len(p) < 64:
+                        cache[p] = x
+                tokens += x[0]
+                score += x[1]
+            words += len(parts)
+        return tokens, words, score
 
 
 def count_tokens(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,7 +110,8 @@ def count_tokens(df: DataFrame, model_path: str, key: str = "doc_id", text: str
 
     Null and empty texts have no tokens. Rows are kept one for one, repeated rows and null keys
     too; other columns are ignored; an empty table gives an empty result. No shuffle; memory is
-    the automaton and a bounded cache of words.
+    the automaton, a bounded cache of words and a window of each text, however long it or its words
+    are. Among equal scores the split whose last piece is longest wins, as in the exact tokenizer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

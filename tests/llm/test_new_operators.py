@@ -227,3 +227,26 @@ def test_contexts_of_many_tasks_are_added_in_levels(spark, monkeypatch):
         rows = brown_lm.score_documents(docs.repartition(9, "doc_id"), told=told).collect()
         got.append((sorted((r["doc_id"], r["score"]) for r in rows), told["m"].tolist(), told["cls"].tolist()))
     assert got[0] == got[1]
+
+
+def test_token_counts_of_long_words_and_windows(spark, monkeypatch):
+    import random
+    import tracemalloc
+
+    from strandline.llm import token_counts
+
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    counter = token_counts.ViterbiCounter(token_counts.unigram_vocab(path))
+    rng = random.Random(1)
+    texts = ["", " ", "▁", "▁ a", " ▁a", "a ", "a  b", "é" * 100, "𝒳 y"] + ["".join(rng.choice("ab é▁\nthe of") for _ in range(rng.randint(0, 300))) for _ in range(100)]
+    want = [counter.text(t)[:2] for t in texts]
+    for window in (1, 7):
+        monkeypatch.setattr(token_counts, "WINDOW", window)
+        assert [counter.text(t)[:2] for t in texts] == want
+    monkeypatch.undo()
+    long = "\n".join(f"theone{i}" for i in range(100_000))
+    tracemalloc.start()
+    n = counter.text(long)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 100_000 and peak < 8 * len(long)  # copies of the text, no lists over its characters
