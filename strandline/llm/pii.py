@@ -282,7 +282,7 @@ def labelled_table(n: int = 400, seed: int = 9) -> list[tuple[list[str], list[st
         if kind == 14:
             return [f"@{name}"], "O"
         if kind == 15:
-            return [rng.choice(["at", "and", "dot", name, host]) for _ in range(rng.randint(2, 5))], "O"  # no address
+            return [rng.choice(["at", "at", "and", name]) for _ in range(rng.randint(2, 4))], "O"  # no address: nothing with a dot
         if kind == 16:
             body = digits(15)
             return [next(body + c for c in "0123456789" if not luhn(body + c)) + stop], "O"
