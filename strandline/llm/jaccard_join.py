@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, reread, staged
+from .common import filter_bits, release, reread, staged, staged_small
 from .components import connected_components
 
 N, NUM, DEN = 5, 3, 4  # words in a shingle; similarity NUM/DEN or more
 _MUL, _MARK = np.uint64(0x9E3779B97F4A7C15), np.iinfo(np.int64).min
-_KEYS, _FILTER_BITS = 8, 23
+_KEYS = 8
+_SHARE_TOKENS = 1 << 20  # most tokens that a task gets of a bucket, where classes are counted; a quarter of it, where sets are paired
 _SENT = "bucket int, tokens binary, ids binary, groups binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("groups", pa.binary())])
 
@@ -231,12 +232,12 @@ def _full_sets(batches, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["sh", "n", "tokens", "keys"])
 
 
-def _bit_filter(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash ``at`` below 2^_FILTER_BITS: of a fixed size, and passes all that is in it (and a little more)."""
+def _bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash ``at`` below 2^bits: passes all that is in it (and a little more)."""
     bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    out = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
-    for r in hashes.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect():
-        out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    rows = hashes.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return out
 
 
@@ -278,25 +279,94 @@ def _scatter(batches, bits: int) -> Iterator[pa.RecordBatch]:
         yield _deal([np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("tokens")], _numbers(batch, "r", "c"), bits, ["ids", "classes"])
 
 
+def _sizes(batches, bits: int) -> Iterator[pa.RecordBatch]:
+    """How many tokens each bucket gets."""
+    for batch in batches:
+        cut = [(b, s.stop - s.start) for x in batch.column("tokens") for b, s in _buckets(np.frombuffer(x.as_py(), dtype=np.uint64), bits)]
+        full = np.array(cut, dtype=np.int64).reshape(-1, 2)
+        b, at = np.unique(full[:, 0], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.bincount(at, weights=full[:, 1], minlength=len(b)).astype(np.int64))], names=["bucket", "n"])
+
+
+def _cut(batches, names: tuple[str, ...], by: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a bucket as they are if it has one share, else cut into its shares by a hash of ``by``."""
+    for batch in batches:
+        shares = batch.column("shares").to_numpy(zero_copy_only=False)
+        out: tuple[list, ...] = tuple([] for _ in range(3 + len(names)))
+        for i in range(batch.num_rows):
+            columns = [np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64) for c in names]
+            with np.errstate(over="ignore"):
+                own = mix(columns[names.index(by)] * _MUL) % np.uint64(shares[i])
+            for share in [0] if shares[i] == 1 else np.unique(own).tolist():
+                picked = [x.tobytes() if shares[i] == 1 else x[own == share].tobytes() for x in columns]
+                for column, v in zip(out, (batch.column("bucket")[i].as_py(), share, int(shares[i]), *picked), strict=True):
+                    column.append(v)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "share", "shares", *names])
+
+
+_CUT = "bucket int, share long, shares long, "
+
+
+def _shared_out(rows: DataFrame, sizes: DataFrame, names: tuple[str, ...], by: str, most: int) -> DataFrame:
+    """``rows`` of buckets with (share, shares): a bucket of more than ``most`` tokens (sizes: bucket, n), as a token of very many sets makes, has several shares."""
+    large = staged_small(sizes.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).alias("shares")), "join-large")
+    told = rows.join(large, "bucket", "left").select("bucket", *names, F.coalesce("shares", F.lit(1)).cast("long").alias("shares"))
+    return told.mapInArrow(lambda b: _cut(b, names, by), _CUT + ", ".join(f"{c} binary" for c in names))
+
+
 def _joined(table: pa.Table, **kinds) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in table.column(c)]) for c, k in kinds.items()]
+    return [np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in table.column(c)] or [np.zeros(0, dtype=k)]) for c, k in kinds.items()]
 
 
-def _frequencies(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each set its tokens here with the number of classes that hold them."""
-    t, r, c = _joined(table, tokens=np.uint64, ids=np.int64, classes=np.int64)
+def _class_counts(table: pa.Table) -> pa.Table:
+    """Of one share of a bucket: its tokens with the number of classes that hold them there, and the least and greatest of these."""
+    t, c = _joined(table, tokens=np.uint64, classes=np.int64)
     order = np.lexsort((c, t))
-    t, r, c = t[order], r[order], c[order]
-    new = np.r_[True, t[1:] != t[:-1]]
-    run = np.cumsum(new) - 1
-    n = np.bincount(run, weights=new | np.r_[True, c[1:] != c[:-1]]).astype(np.int64)[run]
+    t, c = t[order], c[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    last = np.r_[first[1:], len(t)] - 1
+    n = np.add.reduceat((np.r_[True, t[1:] != t[:-1]] | np.r_[True, c[1:] != c[:-1]]).astype(np.int64), first)
+    blob = [x.tobytes() for x in (t[first], n, c[first], c[last])]
+    return pa.table({"bucket": table.column("bucket")[:1], "share": table.column("share")[:1], "shares": table.column("shares")[:1]} | {k: pa.array([x], pa.binary()) for k, x in zip(("t", "n", "lo", "hi"), blob, strict=True)})
+
+
+def _class_sums(table: pa.Table) -> pa.Table:
+    """Of one bucket: its tokens with their classes over all shares, summed; 1 where all shares have one and the same class."""
+    t, n, lo, hi = _joined(table, t=np.uint64, n=np.int64, lo=np.int64, hi=np.int64)
+    order = np.argsort(t, kind="stable")
+    t, n, lo, hi = t[order], n[order], lo[order], hi[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    one = np.minimum.reduceat(lo, first) == np.maximum.reduceat(hi, first)
+    total = np.where(one, 1, np.add.reduceat(n, first))
+    return pa.table({"bucket": table.column("bucket")[:1], "shares": table.column("shares")[:1], "t": pa.array([t[first].tobytes()], pa.binary()), "f": pa.array([total.tobytes()], pa.binary())})
+
+
+def _frequencies(postings: pa.Table, sums: pa.Table) -> pa.Table:
+    """Of one share of a bucket: for each set its tokens here with the number of classes that hold them."""
+    t, r = _joined(postings, tokens=np.uint64, ids=np.int64)
+    if not len(t):
+        return pa.table({"r": pa.array([], pa.int64()), "t": pa.array([], pa.binary()), "f": pa.array([], pa.binary())})
+    of, f = _joined(sums, t=np.uint64, f=np.int64)
     order = np.argsort(r, kind="stable")
-    t, n, r = t[order], n[order], r[order]
+    t, r = t[order], r[order]
+    n = f[np.searchsorted(of, t)]
     edges = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
     cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table({"r": r[edges[:-1]], "t": pa.array([t[s].tobytes() for s in cut], pa.binary()), "f": pa.array([n[s].tobytes() for s in cut], pa.binary())})
 
 
+def _with_frequencies(on: DataFrame, bits: int) -> DataFrame:
+    """(r, t, f): pieces of each set's tokens with the number of classes that hold them; a count that several shares add up may be too large, but is the same for all, and is 1 only where it is 1."""
+    sizes = on.select("tokens").mapInArrow(lambda b: _sizes(b, bits), "bucket int, n long")
+    dealt = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, ids binary, classes binary")
+    shared = staged(_shared_out(dealt, sizes, ("tokens", "ids", "classes"), "ids", _SHARE_TOKENS), "join-dealt")
+    counted = shared.groupBy("bucket", "share").applyInArrow(_class_counts, _CUT + "t binary, n binary, lo binary, hi binary")
+    sums = staged(counted.groupBy("bucket").applyInArrow(_class_sums, "bucket int, shares long, t binary, f binary"), "join-sums")
+    each = sums.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "t", "f")
+    return reread(shared).select("bucket", "share", "tokens", "ids").groupBy("bucket", "share").cogroup(each.groupBy("bucket", "share")).applyInArrow(_frequencies, "r long, t binary, f binary")
+
+
 def _rarest(batches, bits: int) -> Iterator[pa.RecordBatch]:
     """The rows of the token-group matrix that are needed: of each set, the prefix of its rarest tokens that a partner must share, if classes share them."""
     for batch in batches:
@@ -319,30 +389,65 @@ def _asking(own: np.ndarray, q: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return np.stack([q[i], groups[j]], 1)
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Of one bucket of tokens: (q, g) if set q shares a prefix token with a set of group g, of its own group number or a higher one, in another class.
+_ASKED = pa.schema([("q", pa.int64()), ("g", pa.int64()), ("qs", pa.binary()), ("own", pa.binary()), ("gs", pa.binary())])
+
+
+def _asked_rows(pairs: np.ndarray, blocks: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    none, n = [None] * len(pairs), [None] * len(blocks)
+    columns = [pairs[:, 0].tolist() + n, pairs[:, 1].tolist() + n, *[none + [x[i] for x in blocks] for i in range(3)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _ASKED.types, strict=True)], schema=_ASKED)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one cell of a bucket of tokens: (q, g) if set q shares a prefix token with a set of group g, of its own group number or a higher one, in another class.
 
+    A cell holds one share of the bucket, or two, whose sets are then paired with each other only.
     A token of many sets in many groups gives blocks of sets and groups, to be paired elsewhere.
     """
+    table = pa.Table.from_batches(batches)
     t, r, c, g = _joined(table, tokens=np.uint64, ids=np.int64, classes=np.int64, grps=np.int64)
+    side = np.repeat(table.column("share").to_numpy(), [len(x.as_py()) // 8 for x in table.column("tokens")])
+    two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
     order = np.lexsort((g, t))
-    t, r, c, g = t[order], r[order], c[order], g[order]
+    t, r, c, g, side = t[order], r[order], c[order], g[order], side[order]
     edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-    seen, found, blocks = set(), [np.zeros((0, 2), dtype=np.int64)], []
+    no_pairs = np.zeros((0, 2), dtype=np.int64)
+    seen, found, n_found, blocks = set(), [no_pairs], 0, []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if hi - lo < 2 or (c[lo:hi] == c[lo]).all() or (key := r[lo:hi].tobytes()) in seen:
             continue
         seen.add(key)
-        groups = np.unique(g[lo:hi])
-        if (hi - lo) * len(groups) <= _BLOCK * _BLOCK:
-            found.append(_asking(g[lo:hi], r[lo:hi], groups))
-        else:
-            blocks += [(r[i : min(i + _BLOCK, hi)].tobytes(), g[i : min(i + _BLOCK, hi)].tobytes(), groups[j : j + _BLOCK].tobytes()) for i in range(lo, hi, _BLOCK) for j in range(0, len(groups), _BLOCK) if groups[j : j + _BLOCK][-1] >= g[i]]
-        if len(found) > 2000:
+        own, q, of = g[lo:hi], r[lo:hi], side[lo:hi] == side[lo]
+        for mine, theirs in ((of, ~of), (~of, of)) if two else ((slice(None), slice(None)),):
+            og, oq, groups = own[mine], q[mine], np.unique(own[theirs])
+            if len(oq) * len(groups) <= _BLOCK * _BLOCK:
+                found.append(_asking(og, oq, groups))
+                n_found += len(found[-1])
+                continue
+            for i in range(0, len(oq), _BLOCK):
+                blocks += [(oq[i : i + _BLOCK].tobytes(), og[i : i + _BLOCK].tobytes(), groups[j : j + _BLOCK].tobytes()) for j in range(0, len(groups), _BLOCK) if groups[j : j + _BLOCK][-1] >= og[i]]
+                if len(blocks) > 1000:
+                    yield _asked_rows(no_pairs, blocks)
+                    blocks = []
+        if n_found > 2_000_000:
             found = [np.unique(np.concatenate(found), axis=0)]
-    pairs = np.unique(np.concatenate(found), axis=0)
-    none, n = [None] * len(pairs), [None] * len(blocks)
-    return pa.table({"q": pa.array(pairs[:, 0].tolist() + n, pa.int64()), "g": pa.array(pairs[:, 1].tolist() + n, pa.int64())} | {k: pa.array(none + [x[i] for x in blocks], pa.binary()) for i, k in enumerate(("qs", "own", "gs"))})
+            if len(found[0]) > 1_000_000:
+                yield _asked_rows(found[0], [])
+                found = [no_pairs]
+            n_found = len(found[0])
+    yield _asked_rows(np.unique(np.concatenate(found), axis=0), blocks)
+
+
+def _asked(matrix: DataFrame) -> DataFrame:
+    """What sets ask what groups, from the rows (bucket, tokens, ids, classes, grps) of the token-group matrix.
+
+    Each two shares of a large bucket meet in one cell of their own, and each share has one.
+    """
+    names = ("tokens", "ids", "classes", "grps")
+    shared = _shared_out(matrix, reread(matrix).select("bucket", (F.octet_length("tokens") / 8).cast("long").alias("n")), names, "grps", max(1, _SHARE_TOKENS // 4))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other")
+    cells = shared.select("bucket", "share", other, *names).withColumns({"lo": F.least("share", "other"), "hi": F.greatest("share", "other")})
+    return cells.drop("other").groupBy("bucket", "lo", "hi").applyInArrow(_candidates, _PAIRS)
 
 
 def _paired(batches) -> Iterator[pa.RecordBatch]:
@@ -429,6 +534,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
        what groups a set asks. The union of each group's sets is stored; a set's overlap with it
        bounds its overlap with any member. Only where the bound reaches what the set needs is
        the group opened, and the set compared with the whole group at once.
+       A token that very many sets hold is dealt with in shares of its sets: counts are added up
+       over shares, and each two shares are paired in a task of their own.
     Links of 2 and 4 are contracted to components. No link is missed (up to collisions of 64-bit
     hashes), no pair within a class is emitted, links between classes are emitted once a pair of
     classes, and each step's state is written in between.
@@ -443,9 +550,10 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     kept = staged(some.select("i", "doc_id", "text_hash", "n", "sh").join(counts, "i").filter(F.col("c") >= need(FIRST)).select("doc_id", "text_hash", "sh"), "join-kept")
     narrow = staged(docs.select("doc_id", "text_hash", "n", "sh"), "join-rows")
     release(docs)
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _FILTER_BITS)).alias("at")
-    wanted = _bit_filter(kept.select(at("doc_id")))
-    full = src.select(at("doc_id"), "text").mapInArrow(lambda b: _full_sets(b, wanted), "sh binary, n long, tokens binary, keys array<long>")
+    at = lambda c, bits: F.pmod(F.xxhash64(c), F.lit(1 << bits)).alias("at")
+    bits = filter_bits(kept.count())
+    wanted = _bit_filter(kept.select(at("doc_id", bits)), bits)
+    full = src.select(at("doc_id", bits), "text").mapInArrow(lambda b: _full_sets(b, wanted), "sh binary, n long, tokens binary, keys array<long>")
     full = full.join(kept.select("sh").distinct(), "sh", "left_semi").groupBy("sh").agg(F.first(F.struct("n", "tokens", "keys")).alias("s"))
     sets = staged(full.select("sh", "s.*").withColumn("r", F.monotonically_increasing_id()), "join-sets")
 
@@ -453,8 +561,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     total = sets.agg(F.sum("n")).first()[0] or 0
     counts = _shared_counts(sets.select(F.col("r").alias("i"), F.col("r").alias("g"), cut.alias("tokens")), SECOND, total // 2)
     alike = staged(sets.select("r", "n").join(counts, sets["r"] == counts["i"]).filter(F.col("c") >= need(SECOND)).select("r", (F.col("c") / F.col("n")).alias("share")), "join-alike")
-    wanted_sets = _bit_filter(alike.select(at("r")))
-    some_sets = sets.select(at("r"), "r", "n", "tokens", "keys").mapInArrow(lambda b: _filtered(b, wanted_sets), "r long, n long, tokens binary, keys array<long>")
+    bits = filter_bits(alike.count())
+    wanted_sets = _bit_filter(alike.select(at("r", bits)), bits)
+    some_sets = sets.select(at("r", bits), "r", "n", "tokens", "keys").mapInArrow(lambda b: _filtered(b, wanted_sets), "r long, n long, tokens binary, keys array<long>")
     some_sets = staged(some_sets, "join-some-sets")
     slim = staged(sets.select("r", "sh"), "join-set-ids")
     release(sets)
@@ -484,10 +593,10 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", g
     on = staged(on.join(parts, "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("r"), F.col("parts")))).select("r", "c", "g", "tokens"), "join-groups")
     total = on.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     bits = _bucket_bits(total, 2_000_000, 3)
-    counted = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, ids binary, classes binary").groupBy("bucket").applyInArrow(_frequencies, "r long, t binary, f binary")
-    parts = counted.groupBy("r").agg(F.collect_list(F.struct("t", "f")).alias("parts")).join(reread(on).select("r", "c", "g"), "r")  # a row for each set
-    matrix = parts.mapInArrow(lambda b: _rarest(b, bits), "bucket int, tokens binary, ids binary, classes binary, grps binary")
-    asked = staged(matrix.groupBy("bucket").applyInArrow(_candidates, _PAIRS), "join-asked")
+    parts = _with_frequencies(on, bits).groupBy("r").agg(F.collect_list(F.struct("t", "f")).alias("parts")).join(reread(on).select("r", "c", "g"), "r")  # a row for each set
+    matrix = staged(parts.mapInArrow(lambda b: _rarest(b, bits), "bucket int, tokens binary, ids binary, classes binary, grps binary"), "join-matrix")
+    asked = staged(_asked(matrix), "join-asked")
+    release(matrix)
     blocks = asked.filter("q is null").select("qs", "own", "gs").repartition(F.xxhash64("qs", "gs")).mapInArrow(_paired, "q long, g long")
     asking = staged(asked.filter("q is not null").select("q", "g").unionByName(blocks).distinct(), "join-asking")
     unions = staged(on.select("g", "tokens").groupBy("g").applyInArrow(_union, "g long, tokens binary"), "join-unions")

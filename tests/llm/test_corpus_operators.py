@@ -605,9 +605,10 @@ def test_join_finds_all_components(spark, docs, empty, rows):
     assert jaccard_join.similar_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("group_size", [3, 256])
-def test_join_of_chained_and_hot_families(spark, group_size, monkeypatch):
-    """Families whose members drift apart, so that min-hash pivots miss links and groups must be opened."""
+@pytest.mark.parametrize("group_size, share", [(3, 1 << 20), (256, 1 << 20), (3, 40)])
+def test_join_of_chained_and_hot_families(spark, group_size, share, monkeypatch):
+    """Families whose members drift apart, so that min-hash pivots miss links and groups must be opened; with a small share, every bucket of tokens is cut into many."""
+    monkeypatch.setattr(jaccard_join, "_SHARE_TOKENS", share)
     monkeypatch.setattr(jaccard_join, "_KEYS", 1)
     monkeypatch.setattr(jaccard_join, "_BLOCK", 2 if group_size == 3 else 512)
     rng = random.Random(8)
