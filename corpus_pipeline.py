@@ -11,38 +11,45 @@ read whole; tables without rows pass through.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import jaccard_join, mixing, packing, quality, secrets
-from strandline.llm.common import bit_filter, documents, noted, release, staged, with_pass
+from strandline.llm.common import bit_filter, documents, filter_bits, noted, release, staged, with_pass
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[DataFrame] = []  # tables that the last stage's result reads
+_left: dict[tuple[int, str], list[DataFrame]] = {}  # of each thread and folder: tables that the last stage's result reads
 
 
 def _clearing(stage: Stage) -> Stage:
-    """``stage``, after whose call only the tables stay that its result reads, until the next stage is called."""
+    """``stage``, after whose call only the tables stay that its result reads, until the next stage is called.
+
+    Runs in several threads, or over several folders, do not touch each other's tables.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        mine = threading.get_ident(), sf_dir
+        left = _left.pop(mine, [])
         if stage.__name__ == STAGES[0][0]:  # another run begins; the last one's result may not have been read yet
-            _left.clear()
-        needed = set(docs.inputFiles()) if _left else set()
-        still = [t for t in _left if needed & set(t.inputFiles())]  # a caller that has not written the result
-        release(*[t for t in _left if t not in still])
+            left = []
+        needed = set(docs.inputFiles()) if left else set()
+        still = [t for t in left if needed & set(t.inputFiles())]  # a caller that has not written the result
+        release(*[t for t in left if t not in still])
         with noted() as tables:
             out = stage(spark, docs, sf_dir)
         read = set(out.inputFiles())
-        _left[:] = still
+        reads = list(still)
         for t in tables:
             try:
                 files = t.inputFiles()
             except Exception:  # released by its operator already
                 continue
-            _left.append(t) if read & set(files) else release(t)
+            reads.append(t) if read & set(files) else release(t)
+        _left[mine] = reads
         return out
 
     run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
@@ -59,8 +66,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id (null ids last), of each group of linked documents; texts without words link with nothing.
 
-    Rows are told by id and hash of the text. Only rows that a filter of fixed size does not clear
-    are shuffled, to be told exactly.
+    Rows are told by id and hash of the text. Only rows that a filter, sized by the number of marked
+    rows up to a bound, does not clear are shuffled, to be told exactly.
     """
     found = staged(jaccard_join.similar_components(docs.select(*COLUMNS)).filter("lead is not null").select("doc_id", "text_hash", "lead"), "pipe-components")
     leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))
@@ -69,7 +76,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     each = found.groupBy(*mark).agg(F.max(leads).alias("m_lead"), F.count("*").alias("m_n")).filter("not m_lead or m_n > 1")
     marks = staged(each, "pipe-marks")
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_t"))
-    docs = with_pass(docs, F.col("_t"), staged(bit_filter(marks.select(F.col("m_h").alias("hash"))), "pipe-filter"))
+    bits = filter_bits(marks.count())
+    docs = with_pass(docs, F.col("_t"), staged(bit_filter(marks.select(F.col("m_h").alias("hash")), bits), "pipe-filter"), bits)
     told = docs.filter("_pass").join(marks, docs["doc_id"].eqNullSafe(marks["m_id"]) & (docs["_t"] == marks["m_h"]), "left")
     alone = docs.filter("not _pass").select(*COLUMNS).unionByName(told.filter("m_n is null").select(*COLUMNS))
     if marks.filter("m_lead").isEmpty():
