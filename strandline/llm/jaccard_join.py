@@ -16,6 +16,7 @@ from .components import connected_components
 N, NUM, DEN = 5, 3, 4  # words in a shingle; similarity NUM/DEN or more
 _MUL, _MARK = np.uint64(0x9E3779B97F4A7C15), np.iinfo(np.int64).min
 _KEYS = 8
+_SEND_TOKENS = 1_000_000  # held by a task before they are sent
 _SHARE_TOKENS = 1 << 20  # most tokens that a task gets of a bucket, where classes are counted; a quarter of it, where sets are paired
 _SENT = "bucket int, tokens binary, ids binary, groups binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("groups", pa.binary())])
@@ -98,7 +99,7 @@ def _send(batches, bits: int, part: int) -> Iterator[pa.RecordBatch]:
     def flush(ids: list[int], groups: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         rows: tuple[list, ...] = ([], [], [], [])
         own, grp = np.array(ids, dtype=np.int64), np.array(groups, dtype=np.int64)
-        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
         t = np.concatenate(sets)
         order = np.lexsort((grp[at], t))
         t, at = t[order], at[order]
@@ -131,7 +132,7 @@ def _send(batches, bits: int, part: int) -> Iterator[pa.RecordBatch]:
             groups.append(g)
             sets.append(x)
             n += len(x)
-            if n > 3_000_000:
+            if n > _SEND_TOKENS:
                 yield flush(ids, groups, sets)
                 ids, groups, sets, n = [], [], [], 0
     if n:
