@@ -280,15 +280,6 @@ def _scatter(batches, bits: int) -> Iterator[pa.RecordBatch]:
         yield _deal([np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("tokens")], _numbers(batch, "r", "c"), bits, ["ids", "classes"])
 
 
-def _sizes(batches, bits: int) -> Iterator[pa.RecordBatch]:
-    """How many tokens each bucket gets."""
-    for batch in batches:
-        cut = [(b, s.stop - s.start) for x in batch.column("tokens") for b, s in _buckets(np.frombuffer(x.as_py(), dtype=np.uint64), bits)]
-        full = np.array(cut, dtype=np.int64).reshape(-1, 2)
-        b, at = np.unique(full[:, 0], return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.bincount(at, weights=full[:, 1], minlength=len(b)).astype(np.int64))], names=["bucket", "n"])
-
-
 def _cut(batches, names: tuple[str, ...], by: str) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket as they are if it has one share, else cut into its shares by a hash of ``by``."""
     for batch in batches:
@@ -309,10 +300,13 @@ def _cut(batches, names: tuple[str, ...], by: str) -> Iterator[pa.RecordBatch]:
 _CUT = "bucket int, share long, shares long, "
 
 
-def _shared_out(rows: DataFrame, sizes: DataFrame, names: tuple[str, ...], by: str, most: int) -> DataFrame:
-    """``rows`` of buckets with (share, shares): a bucket of more than ``most`` tokens (sizes: bucket, n), as a token of very many sets makes, has several shares."""
-    large = staged_small(sizes.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).alias("shares")), "join-large")
-    told = rows.join(large, "bucket", "left").select("bucket", *names, F.coalesce("shares", F.lit(1)).cast("long").alias("shares"))
+def _shared_out(rows: DataFrame, names: tuple[str, ...], by: str, most: int) -> DataFrame:
+    """The staged ``rows`` of buckets with (share, shares): a bucket of more than ``most`` tokens, as a token of very many sets makes, has several shares."""
+    sizes = rows.groupBy("bucket").agg(F.sum(F.octet_length("tokens") / 8).alias("n"))
+    large = staged_small(sizes.filter(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("long").alias("shares")), "join-large")
+    if large.isEmpty():
+        return rows.select("bucket", F.lit(0).cast("long").alias("share"), F.lit(1).cast("long").alias("shares"), *names)
+    told = reread(rows).join(large, "bucket", "left").select("bucket", *names, F.coalesce("shares", F.lit(1).cast("long")).alias("shares"))
     return told.mapInArrow(lambda b: _cut(b, names, by), _CUT + ", ".join(f"{c} binary" for c in names))
 
 
@@ -359,13 +353,12 @@ def _frequencies(postings: pa.Table, sums: pa.Table) -> pa.Table:
 
 def _with_frequencies(on: DataFrame, bits: int) -> DataFrame:
     """(r, t, f): pieces of each set's tokens with the number of classes that hold them; a count that several shares add up may be too large, but is the same for all, and is 1 only where it is 1."""
-    sizes = on.select("tokens").mapInArrow(lambda b: _sizes(b, bits), "bucket int, n long")
-    dealt = on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, ids binary, classes binary")
-    shared = staged(_shared_out(dealt, sizes, ("tokens", "ids", "classes"), "ids", _SHARE_TOKENS), "join-dealt")
-    counted = shared.groupBy("bucket", "share").applyInArrow(_class_counts, _CUT + "t binary, n binary, lo binary, hi binary")
+    dealt = staged(on.mapInArrow(lambda b: _scatter(b, bits), "bucket int, tokens binary, ids binary, classes binary"), "join-dealt")
+    shared = lambda: _shared_out(dealt, ("tokens", "ids", "classes"), "ids", _SHARE_TOKENS)
+    counted = shared().groupBy("bucket", "share").applyInArrow(_class_counts, _CUT + "t binary, n binary, lo binary, hi binary")
     sums = staged(counted.groupBy("bucket").applyInArrow(_class_sums, "bucket int, shares long, t binary, f binary"), "join-sums")
     each = sums.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "t", "f")
-    return reread(shared).select("bucket", "share", "tokens", "ids").groupBy("bucket", "share").cogroup(each.groupBy("bucket", "share")).applyInArrow(_frequencies, "r long, t binary, f binary")
+    return shared().select("bucket", "share", "tokens", "ids").groupBy("bucket", "share").cogroup(each.groupBy("bucket", "share")).applyInArrow(_frequencies, "r long, t binary, f binary")
 
 
 def _rarest(batches, bits: int) -> Iterator[pa.RecordBatch]:
@@ -445,7 +438,7 @@ def _asked(matrix: DataFrame) -> DataFrame:
     Each two shares of a large bucket meet in one cell of their own, and each share has one.
     """
     names = ("tokens", "ids", "classes", "grps")
-    shared = _shared_out(matrix, reread(matrix).select("bucket", (F.octet_length("tokens") / 8).cast("long").alias("n")), names, "grps", max(1, _SHARE_TOKENS // 4))
+    shared = _shared_out(matrix, names, "grps", max(1, _SHARE_TOKENS // 4))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other")
     cells = shared.select("bucket", "share", other, *names).withColumns({"lo": F.least("share", "other"), "hi": F.greatest("share", "other")})
     return cells.drop("other").groupBy("bucket", "lo", "hi").applyInArrow(_candidates, _PAIRS)
