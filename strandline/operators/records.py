@@ -146,13 +146,13 @@ def pick_named(
     return out.withColumn("faults", faults).select(*picks.columns, key, "faults")
 
 
-# Names of a batch's parts by rank, with the first rank that is past each part.
-RANK_BUCKETS = ((41, "smaller_place_employer_diversity"), (26, "regional_municipal_employer_expansion"), (11, "high_population_place_expansion"))
+# Names of a batch's parts by rank: the part after the named number of ranks.
+RANK_BUCKETS = ((40, "smaller_place_employer_diversity"), (25, "regional_municipal_employer_expansion"), (10, "high_population_place_expansion"))
 FIRST_RANK_BUCKET = "largest_remaining_place_employer"
 
 
 def rank_bucket(rank: Column, cuts: tuple[tuple[int, str], ...] = RANK_BUCKETS, first: str = FIRST_RANK_BUCKET) -> Column:
-    return bands(rank, list(cuts), first)
+    return bands(rank - 1, list(cuts), first)
 
 
 def bucket_texts(df: DataFrame, bucket: str, targets: DataFrame, on: list[str], templates: dict[str, str], target_bucket: str) -> DataFrame:
