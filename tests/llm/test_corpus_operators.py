@@ -299,6 +299,36 @@ def test_neighbours_match_brute_force(spark):
     assert clash == {(q, i + 1): v for q, found in got.items() for i, (v, _) in enumerate(found)}
 
 
+def test_neighbours_broadcast_nothing(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.standard_normal(8)]) for i in range(400)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, every=10, data_block=32, query_block=8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # the queries are sent once for every slice of rows
+
+
+@pytest.mark.parametrize("dim", [1, 3, 16])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_of_copies_and_at_any_scale(spark, dim, kind):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((300, dim)).astype(np.float32 if kind == "float" else float)
+    x[50:150] = x[3]
+    x[200:] *= 1e-3 if kind == "float" else 1e-60
+    x[250:] *= 1e20 if kind == "float" else 1e90
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], f"vec_id long, embedding array<{kind}>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, every=5, data_block=16, query_block=4, data_slice=64, query_slice=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 300, 5):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        best = [j for j in np.lexsort((np.arange(300), d)) if j != q][:10]
+        assert len(got[q]) == 10 and all(s == d[v] for v, s in got[q])
+        hits += sum(s <= d[best[-1]] for _, s in got[q])
+        if 50 <= q < 150:
+            assert [v for v, _ in got[q]] == best
+    assert hits >= 0.9 * 600
+
+
 @pytest.mark.parametrize("dim", [5, 64, 100])
 def test_products_from_packed_bits(dim):
     rng = np.random.default_rng(dim)
