@@ -34,11 +34,23 @@ def default_view(df: DataFrame, chosen: dict[str, str] | None = None, search: st
     return df.filter(keep)
 
 
-def ordered_context(df: DataFrame, by: str, primary: Column, key: str, label: Column, sep: str = "; ", size: int = 10_000) -> DataFrame:
-    """Labels of each group as texts of up to ``size`` labels (part 1, 2, ...), the primary first, then by key."""
+def context_parts(df: DataFrame, by: str, primary: Column, key: str, label: Column, sep: str = "; ", size: int = 10_000) -> DataFrame:
+    """Labels of each group as texts of up to ``size`` labels (part 1, 2, ...), the primary first, then by key; null flags and keys come last, a part without a label is null."""
     rows = df.select(by, (~primary).alias("_later"), F.col(key).alias("_k"), label.alias("_t"))
-    lists = scans.chunked_lists(rows, [by], [F.col("_later"), F.col("_k"), F.col("_t")], F.col("_t"), size)
-    return lists.select(by, "part", F.array_join("items", sep).alias("context"))
+    order = [F.col(c).asc_nulls_last() for c in ("_later", "_k", "_t")]
+    lists = scans.chunked_lists(rows, [by], order, F.col("_t"), size)
+    return lists.select(by, "part", F.when(F.exists("items", F.isnotnull), F.array_join("items", sep)).alias("context"))
+
+
+def ordered_context(df: DataFrame, by: str, primary: Column, key: str, label: Column, sep: str = "; ", size: int = 10_000) -> DataFrame:
+    """One text per group with all its labels, ordered as in context_parts(); null without a label.
+
+    Labels are sorted and joined ``size`` at a time, so that only a group's finished text is in one task, as it is in one row.
+    """
+    parts = context_parts(df, by, primary, key, label, sep, size).filter(F.col("context").isNotNull() | (F.col("part") == 1))
+    listed = F.array_sort(F.collect_list(F.struct("part", "context")))
+    texts = parts.groupBy(by).agg(F.transform(listed, lambda x: x["context"]).alias("_texts"))
+    return texts.select(by, F.when(F.exists("_texts", F.isnotnull), F.array_join("_texts", sep)).alias("context"))
 
 
 def forbidden_terms(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:

@@ -279,7 +279,7 @@ select c_nationkey, part, string_agg(c_custkey::varchar || ' ' || c_mktsegment,
 from (select *, ((row_number() over (partition by c_nationkey order by c_acctbal <= 9000, c_custkey) - 1) // 10000 + 1)::int as part from customer) group by 1, 2""")
 def q_hints(t):
     c = t("customer")
-    return evidence.ordered_context(c, "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey", F.concat_ws(" ", "c_custkey", "c_mktsegment"))
+    return evidence.context_parts(c, "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey", F.concat_ws(" ", "c_custkey", "c_mktsegment"))
 
 
 @query("select 'large' as condition, o_custkey from orders where o_totalprice > 250000 group by 2 union all select 'urgent', o_custkey from orders where o_orderpriority = '1-URGENT' group by 2")

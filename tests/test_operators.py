@@ -118,6 +118,22 @@ def test_entity_resolution_and_merges(spark):
     assert rows(matching.first_of_files(files, "k")) == [("a", 1), ("b", 3)]
 
 
+def test_contexts_are_one_whole_text_a_group(spark):
+    rows = [("a", i, i % 7 == 0, f"t{i}" if i % 5 else None) for i in range(1, 41)] + [("b", 2, None, "last"), ("b", 3, False, "z"), ("b", None, True, "y"), ("b", 9, True, "x"), (None, 1, True, "n"), ("c", 1, True, None)]
+    df = spark.createDataFrame(rows, "g string, k int, p boolean, t string").repartition(5)
+    got = {r["g"]: r["context"] for r in evidence.ordered_context(df, "g", F.col("p"), "k", F.col("t"), " | ", size=3).collect()}
+    want = " | ".join(f"t{i}" for i in sorted(range(1, 41), key=lambda i: (i % 7 != 0, i)) if i % 5)
+    assert got == {"a": want, "b": "x | y | z | last", None: "n", "c": None}
+
+
+def test_long_context_of_large_groups(spark):
+    from strandline.plans.records import q_long_context
+
+    df = spark.range(25_000).selectExpr("id as c_custkey", "cast(id % 2 as int) as c_nationkey", "cast(id % 9100 as double) as c_acctbal")
+    got = {r["c_nationkey"]: r["context"] for r in q_long_context({"customer": df}.__getitem__).collect()}
+    assert got == {n: " | ".join(map(str, sorted(range(n, 25_000, 2), key=lambda i: (i % 9100 <= 9000, i)))) for n in (0, 1)}
+
+
 def test_evidence(spark):
     df = spark.createDataFrame([(0, "c1", "pay", "present", "text", "", True), (1, "c1", "pay", "present", "text", "", True), (2, "c1", "pay", "weird", "x", None, True), (3, "c1", "pay", "present", "other", "flagged", True)], "o int, c string, a string, s string, e string, n string, ok boolean")
     layer = evidence.evidence_layer(df, "c", "a", "s", "e", "n", "o", F.col("ok"))
