@@ -274,12 +274,10 @@ def q_timing_summary(t):
     return _r(out, "mean_s", "median_s", "min_s", "max_s", "rows_per_hour")
 
 
-@query("""
-select c_nationkey, part, string_agg(c_custkey::varchar || ' ' || c_mktsegment, '; ' order by c_acctbal <= 9000, c_custkey) as context
-from (select *, ((row_number() over (partition by c_nationkey order by c_acctbal <= 9000, c_custkey) - 1) // 10000 + 1)::int as part from customer) group by 1, 2""")
+@query("select c_nationkey, string_agg(c_custkey::varchar || ' ' || c_mktsegment, '; ' order by c_acctbal <= 9000, c_custkey) as context from customer group by 1")
 def q_hints(t):
     c = t("customer")
-    return evidence.context_parts(c, "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey", F.concat_ws(" ", "c_custkey", "c_mktsegment"))
+    return evidence.ordered_context(c, "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit(" "), "c_mktsegment"))
 
 
 @query("select 'large' as condition, o_custkey from orders where o_totalprice > 250000 group by 2 union all select 'urgent', o_custkey from orders where o_orderpriority = '1-URGENT' group by 2")

@@ -134,6 +134,15 @@ def test_long_context_of_large_groups(spark):
     assert got == {n: " | ".join(map(str, sorted(range(n, 25_000, 2), key=lambda i: (i % 9100 <= 9000, i)))) for n in (0, 1)}
 
 
+def test_hints_of_large_groups(spark):
+    from strandline.plans.rollups_ranks import q_hints
+
+    df = spark.range(25_000).selectExpr("id as c_custkey", "cast(id % 2 as int) as c_nationkey", "cast(id % 9100 as double) as c_acctbal", "if(id % 10 = 0, null, 'S') as c_mktsegment")
+    got = {r["c_nationkey"]: r["context"] for r in q_hints({"customer": df}.__getitem__).collect()}
+    ordered = {n: sorted(range(n, 25_000, 2), key=lambda i: (i % 9100 <= 9000, i)) for n in (0, 1)}
+    assert got == {n: "; ".join(f"{i} S" for i in ids if i % 10) for n, ids in ordered.items()}
+
+
 def test_evidence(spark):
     df = spark.createDataFrame([(0, "c1", "pay", "present", "text", "", True), (1, "c1", "pay", "present", "text", "", True), (2, "c1", "pay", "weird", "x", None, True), (3, "c1", "pay", "present", "other", "flagged", True)], "o int, c string, a string, s string, e string, n string, ok boolean")
     layer = evidence.evidence_layer(df, "c", "a", "s", "e", "n", "o", F.col("ok"))
